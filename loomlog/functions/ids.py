@@ -18,21 +18,26 @@ def _trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANK))
 
 
-def _hex(c: Column) -> Column:
-    """The 32 hex digits of a spelled UUID, null for other texts."""
-    squeezed = F.translate(F.lower(_trimmed(c)), "{}()-\"'", "")
-    digits = F.when(squeezed.startswith("urn:uuid:"), F.substring(squeezed, 10, 1000)).otherwise(squeezed)
-    return F.when(digits.rlike("^[0-9a-f]{32}$"), digits)
+#: Spellings that need no cleaning: dashed or plain hex digits in either case.
+_PLAIN = "^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32})$"
 
 
-def id_key(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    digits, text = _hex(c), _trimmed(c)
-    return F.when(digits.isNotNull(), F.when(digits != "0" * 32, F.unhex(digits))).when(
+def _other_key(c: Column) -> Column:
+    """The key of a text that is not plainly spelled: a decorated UUID, or no UUID."""
+    text = _trimmed(c)
+    squeezed = F.translate(F.lower(text), "{}()-\"'", "")
+    digits = F.regexp_replace(squeezed, "^urn:uuid:", "")
+    return F.when(digits.rlike("^[0-9a-f]{32}$"), F.unhex(digits)).when(
         text != "", F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("00" * _PAD)))
     )
 
 
+def id_key(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    key = F.when(c.rlike(_PLAIN), F.unhex(F.replace(c, F.lit("-"), F.lit("")))).otherwise(_other_key(c))
+    return F.nullif(key, F.unhex(F.lit("00" * 16)))
+
+
 def id_text(key: Column | str) -> Column:
     """The text of a key: lower case with hyphens for a UUID, else the trimmed text."""
     key = F.col(key) if isinstance(key, str) else key
