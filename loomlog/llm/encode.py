@@ -146,13 +146,19 @@ def _batch(rows):
 
 
 def _encoder(path: str | None):
-    schema = pa.schema([("h", pa.binary()), ("ids", pa.binary())])
+    schema = pa.schema([("of", pa.int64()), ("h", pa.binary()), ("ids", pa.binary())])
 
     def run(batches):
+        """Rows sorted by chunk, those with the chunk's text first: encode it once, answer all blocks that need it."""
         e = tokens.encoding(path)
+        last, ids = None, b""
         for b in batches:
-            ids = [np.array(e.encode_ordinary(t), np.uint16).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(ids, pa.binary())], schema=schema)
+            out = []
+            for h, text in zip(b.column("h").to_pylist(), b.column("text").to_pylist()):
+                if h != last:
+                    last, ids = h, np.array(e.encode_ordinary(text), np.uint16).tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("h"), pa.array(out, pa.binary())], schema=schema)
 
     return run
 
@@ -207,9 +213,8 @@ def encode_corpus(documents: DataFrame, path: str | None = None) -> DataFrame:
     """
     docs = written(documents.select("doc_id", "text").mapInArrow(_chunk, _DOC_DDL), "chunks")
     news = docs.select("block", F.explode("news").alias("c")).select("block", "c.h", "c.text")
-    distinct = news.filter("text is not null").dropDuplicates(["h"]).select("h", "text")
-    encoded = distinct.mapInArrow(_encoder(path), "h binary, ids binary")
-    needed = news.select(F.col("block").alias("of"), "h").join(encoded, "h").select("of", "h", "ids")
+    placed = news.repartition("h").sortWithinPartitions("h", F.col("text").isNull())
+    needed = placed.select("block", "h", "text").mapInArrow(_encoder(path), "of bigint, h binary, ids binary")
     return (
         docs.select("block", "doc_id", "refs", "repairs").groupBy("block").cogroup(needed.groupBy("of"))
         .applyInArrow(_assembler(path), "doc_id bigint, ids array<int>")
