@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.shred import parse
+from loomlog.session import written
 
 _KEYS = ["producer", "event_type", "segment_no"]
 
@@ -99,7 +100,7 @@ def changes(facts: DataFrame) -> DataFrame:
     A removed and an added field of one file are a rename when they share values; of several candidates the pair with
     most shared values goes first (ties: by name), each field in one pair.
     """
-    facts = facts.filter("producer is not null and event_type is not null and segment_no is not null")
+    facts = written(facts, "facts").filter("producer is not null and event_type is not null and segment_no is not null")
     segments = facts.select(*_KEYS).distinct()
     order = Window.partitionBy("producer", "event_type").orderBy("segment_no")
     steps = segments.withColumn("prev", F.lag("segment_no").over(order)).withColumn("next", F.lead("segment_no").over(order))
@@ -114,6 +115,7 @@ def changes(facts: DataFrame) -> DataFrame:
         F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed")
         .when((F.size("before") > 0) & (F.size("now") > 0) & (F.col("before") != F.col("now")), "retyped").alias("change"),
     ).filter("change is not null")
+    both = written(both, "changes")
     gone = both.filter("change = 'removed'").select(*_KEYS, "path")
     come = both.filter("change = 'added'").select(*_KEYS, "path")
     old_values = real.filter("next is not null and atom is not null").select("producer", "event_type", F.col("next").alias("segment_no"), "path", "atom").distinct().join(gone, [*_KEYS, "path"], "left_semi")
@@ -209,13 +211,32 @@ def ingest(lines: DataFrame, columns: dict[str, str], renames: dict[str, str] |
     return lines.select(*keep, "payload").mapInArrow(_ingester(columns, renames or {}), ddl)
 
 
+def _replay(path: str, kind: str):
+    arrow = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[kind]
+
+    def run(batches):
+        for b in batches:
+            made, left = [], []
+            for text in b.column("_rescued").to_pylist():
+                value, rest = None, parse(text) if text is not None else None
+                if rest and path in rest:
+                    try:
+                        value = _cast(rest[path], kind)
+                        del rest[path]
+                    except ValueError:
+                        pass
+                made.append(value)
+                left.append(json.dumps(rest, ensure_ascii=False).encode("utf-8", "replace").decode() if rest else None)
+            keep = [c for c in b.schema.names if c != "_rescued"]
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in keep), pa.array(made, arrow), pa.array(left, pa.string())], names=[*keep, _column(path), "_rescued"]
+            )
+
+    return run
+
+
 def promote(ingested: DataFrame, path: str, kind: str) -> DataFrame:
-    """Approve one rescued field: a typed column filled by replaying the rescued values; what does not fit stays."""
-    flat = F.from_json("_rescued", "map<string,string>")
-    value = F.try_element_at(flat, F.lit(path))
-    typed = value.try_cast(kind)
-    rest = F.map_filter(flat, lambda k, v: k != path)
-    fits = typed.isNotNull() | (F.map_contains_key(flat, path) & value.isNull())
-    return ingested.withColumn(_column(path), typed).withColumn(
-        "_rescued", F.when(fits, F.when(F.size(rest) > 0, F.to_json(rest))).otherwise(F.col("_rescued"))
-    )
+    """Approve one rescued field: a typed column (string, double or boolean) filled by replaying the rescued values, which
+    leave the rescue column; what does not fit stays there."""
+    keep = [f"`{c}` {t}" for c, t in ingested.dtypes if c != "_rescued"]
+    return ingested.mapInArrow(_replay(path, kind), ", ".join([*keep, f"`{_column(path)}` {kind}", "_rescued string"]))
