@@ -63,3 +63,31 @@ ORACLES = {
         SELECT pointer_name, seq FROM c JOIN pos USING (log_partition)
         WHERE (seq > active OR ingested_at > updated_at) AND (k IS NULL OR nth = 1)""",
 }
+
+_LEAVES = """WITH valid AS (SELECT producer, event_type, CAST(segment_no AS BIGINT) AS segment_no, line_no,
+    CASE WHEN json_valid(payload) THEN CASE json_type(payload) WHEN 'OBJECT' THEN payload
+      WHEN 'VARCHAR' THEN CASE WHEN json_valid(payload->>'$') AND json_type(payload->>'$') = 'OBJECT' THEN payload->>'$' END END END AS doc FROM archive_lines
+    WHERE producer IS NOT NULL AND event_type IS NOT NULL AND segment_no IS NOT NULL),
+docs AS (SELECT DISTINCT producer, event_type, segment_no, doc FROM valid WHERE doc IS NOT NULL),
+tree AS (SELECT d.producer, d.event_type, d.segment_no, substr(t.fullkey, 3) AS path, t.type, t.value FROM docs d, json_tree(d.doc) t WHERE t.type <> 'OBJECT'),
+leaf AS (SELECT DISTINCT * FROM tree WHERE NOT contains(path, '[')),
+atom AS (SELECT DISTINCT producer, event_type, segment_no, regexp_replace(path, '\\[.*$', '') AS path, value->>'$' AS atom FROM tree WHERE type NOT IN ('ARRAY', 'NULL')),
+segs AS (SELECT *, lag(segment_no) OVER w AS prev FROM (SELECT DISTINCT producer, event_type, segment_no FROM docs) WINDOW w AS (PARTITION BY producer, event_type ORDER BY segment_no)),
+fields AS (SELECT producer, event_type, segment_no, path, list_sort(list(DISTINCT CASE type WHEN 'NULL' THEN NULL WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'string'
+    WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END) FILTER (type <> 'NULL')) AS types FROM leaf GROUP BY ALL),
+now AS (SELECT f.*, s.prev FROM fields f JOIN segs s USING (producer, event_type, segment_no) WHERE s.prev IS NOT NULL),
+old AS (SELECT f.producer, f.event_type, s.segment_no, f.path, f.types, s.prev FROM fields f JOIN segs s ON f.producer = s.producer AND f.event_type = s.event_type AND f.segment_no = s.prev),
+d AS (SELECT producer, event_type, segment_no, path, coalesce(n.prev, o.prev) AS prev,
+    CASE WHEN o.types IS NULL AND o.prev IS NULL THEN 'added' WHEN n.prev IS NULL THEN 'removed' WHEN len(coalesce(n.types, [])) > 0 AND len(coalesce(o.types, [])) > 0 AND n.types <> o.types THEN 'retyped' END AS change
+  FROM now n FULL JOIN old o USING (producer, event_type, segment_no, path)),
+pairs AS (SELECT a.producer, a.event_type, a.segment_no, r.path AS old_field, a.path AS field, count(*) AS c
+  FROM d a JOIN d r ON a.producer = r.producer AND a.event_type = r.event_type AND a.segment_no = r.segment_no AND a.change = 'added' AND r.change = 'removed'
+  JOIN atom x ON x.producer = a.producer AND x.event_type = a.event_type AND x.segment_no = a.segment_no AND x.path = a.path
+  JOIN atom y ON y.producer = r.producer AND y.event_type = r.event_type AND y.segment_no = r.prev AND y.path = r.path AND y.atom = x.atom GROUP BY ALL),
+best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY producer, event_type, segment_no, field ORDER BY c DESC, old_field) = 1
+  AND row_number() OVER (PARTITION BY producer, event_type, segment_no, old_field ORDER BY c DESC, field) = 1)"""
+
+ORACLES["p6_found"] = f"""{_LEAVES} SELECT producer, segment_no, event_type, field, old_field, 'renamed' AS change FROM best
+  UNION ALL SELECT producer, segment_no, event_type, path, '', change FROM d WHERE change IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM best b WHERE b.producer = d.producer AND b.event_type = d.event_type AND b.segment_no = d.segment_no
+      AND ((d.change = 'added' AND b.field = d.path) OR (d.change = 'removed' AND b.old_field = d.path)))"""

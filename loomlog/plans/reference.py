@@ -30,29 +30,32 @@ def _now(log: DataFrame):
     return F.lit(log.agg(F.max("created_at")).first()[0]).cast("timestamp_ntz")
 
 
-def _decimal(c: str):
-    return F.col(c).cast("decimal(18,2)")
-
-
-#: The user aggregate: events seen, errors, sum of values, last type, whether it ever bought.
-USER = fold.Fold(
-    ["aggregate_type", "aggregate_id"], "position",
-    {
-        "n_events": fold.Field("count"),
-        "n_errors": fold.Field("count", when=F.col("event_type") == "activity:error"),
-        "total": fold.Field("sum", value=F.col("value").cast("decimal(18,2)")),
-        "last_type": fold.Field("last", value=F.col("event_type"), default="none"),
-        "bought": fold.Field("ever", when=F.col("event_type") == "activity:purchase"),
-    },
-)
-ORDER = fold.Fold(
-    ["aggregate_id"], "version",
-    {
-        "status": fold.Field("last", value=F.col("event_type")),
-        "total": fold.Field("last", value=F.col("amt"), when=F.col("event_type") == "order_placed", default=0.0),
-        "returned": fold.Field("count", when=F.col("event_type") == "line:returned"),
-    },
-)
+def _user() -> fold.Fold:
+    """The user aggregate: events seen, errors, sum of values, last type, whether it ever bought."""
+    return fold.Fold(
+        ["aggregate_type", "aggregate_id"], "position",
+        {
+            "n_events": fold.Field("count"),
+            "n_errors": fold.Field("count", when=F.col("event_type") == "activity:error"),
+            "total": fold.Field("sum", value=F.col("value").cast("decimal(18,2)")),
+            "last_type": fold.Field("last", value=F.col("event_type"), default="none"),
+            "bought": fold.Field("ever", when=F.col("event_type") == "activity:purchase"),
+        },
+    )
+
+
+def _order() -> fold.Fold:
+    return fold.Fold(
+        ["aggregate_id"], "version",
+        {
+            "status": fold.Field("last", value=F.col("event_type")),
+            "total": fold.Field("last", value=F.col("amt"), when=F.col("event_type") == "order_placed", default=0.0),
+            "returned": fold.Field("count", when=F.col("event_type") == "line:returned"),
+        },
+    )
+
+
+FIELDS = ["n_events", "n_errors", "total", "last_type", "bought"]
 
 
 def _persistent(s: SparkSession, d: str) -> DataFrame:
@@ -146,7 +149,7 @@ def append_conflicts(s, d):
 
 
 def _user_states(s, d) -> DataFrame:
-    return USER.running(_persistent(s, d), keep=["aggregate_type", "aggregate_id", "position", "event_id", "version", "created_at", "correlation_id"])
+    return _user().running(_persistent(s, d), keep=["aggregate_type", "aggregate_id", "position", "event_id", "version", "created_at", "correlation_id"])
 
 
 @query
@@ -163,8 +166,8 @@ def load_snapshot(s, d):
 @query
 def hydrate_from_snapshot(s, d):
     """Cold reads: the newest snapshot of each user and the events after it."""
-    snaps = L.latest_snapshot(fold.every(_user_states(s, d), 10).select("aggregate_type", "aggregate_id", "version", *USER.fields))
-    return _user_out(USER.seeded(snaps, _persistent(s, d))).select("aggregate_id", *USER.fields)
+    snaps = L.latest_snapshot(fold.every(_user_states(s, d), 10).select("aggregate_type", "aggregate_id", "version", *FIELDS))
+    return _user_out(_user().seeded(snaps, _persistent(s, d))).select("aggregate_id", *FIELDS)
 
 
 # --- folds and windows ---------------------------------------------------------------------------------------------
@@ -172,7 +175,7 @@ def hydrate_from_snapshot(s, d):
 
 @query
 def aggregate_fold_user(s, d):
-    return _user_out(USER.final(_persistent(s, d))).select("aggregate_id", *USER.fields)
+    return _user_out(_user().final(_persistent(s, d))).select("aggregate_id", *FIELDS)
 
 
 @query
@@ -182,12 +185,12 @@ def aggregate_fold_user_running(s, d):
 
 @query
 def aggregate_fold_order(s, d):
-    return ORDER.running(order_stream(s, d), keep=["aggregate_id", "version"])
+    return _order().running(order_stream(s, d), keep=["aggregate_id", "version"])
 
 
 @query
 def aggregate_fold_order_final(s, d):
-    return ORDER.final(order_stream(s, d))
+    return _order().final(order_stream(s, d))
 
 
 @query
@@ -205,13 +208,13 @@ def fold_longest_streak(s, d):
 
 @query
 def state_as_of(s, d):
-    return _user_out(USER.as_of(_persistent(s, d), F.col("created_at") <= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))).select("aggregate_id", *USER.fields)
+    return _user_out(_user().as_of(_persistent(s, d), F.col("created_at") <= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))).select("aggregate_id", *FIELDS)
 
 
 @query
 def transition_guard(s, d):
     """Events at which a user's state went to error from something else."""
-    t = USER.transitions(_persistent(s, d), lambda prev, nxt: (nxt("last_type") == "activity:error") & (prev("last_type") != "activity:error"), ["version"])
+    t = _user().transitions(_persistent(s, d), lambda prev, nxt: (nxt("last_type") == "activity:error") & (prev("last_type") != "activity:error"), ["version"])
     return t.select("position", "aggregate_id", F.col("prev_last_type").alias("from_type"), "n_errors")
 
 

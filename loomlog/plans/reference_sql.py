@@ -52,7 +52,7 @@ def _q(body: str, *parts: str, recursive: bool = False) -> str:
 
 
 def _uuid5(name: str) -> str:
-    h = f"sha1(concat(unhex('6ba7b8109dad11d180b400c04fd430c8'), encode({name})))"
+    h = f"sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode({name}))"
     return (
         f"(SELECT concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-', substr('89ab', CAST(('0x' || h[17:17])::INT % 4 + 1 AS BIGINT), 1), h[18:20], '-', h[21:32]) FROM (SELECT {h} AS h))"
     )
@@ -182,10 +182,10 @@ ORACLES = {
         WHERE NOT EXISTS (SELECT 1 FROM executions x WHERE x.event_id = j.event_id AND x.reactor_id = j.reactor_id AND x.status = 'completed')""", _EXEC),
     "same_batch_join": """WITH l AS (SELECT l_orderkey AS batch_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_partkey, l_linestatus FROM lineitem)
         SELECT batch_id, count(*) AS batch_size, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY i) AS parts FROM l GROUP BY 1 HAVING bool_and(l_linestatus = 'F')""",
-    "convergence_gate": _q("""SELECT correlation_id, max(at) AS opened_at FROM (SELECT correlation_id, event_type, min(position) AS at FROM log
+    "convergence_gate": _q("""SELECT correlation_id, max(first_at) AS opened_at FROM (SELECT correlation_id, event_type, min(position) AS first_at FROM log
         WHERE event_type IN ('activity:view', 'activity:click', 'activity:purchase') GROUP BY ALL) GROUP BY 1 HAVING count(*) = 3"""),
-    "wait_terminal": _q("""SELECT l.correlation_id, at AS terminal_position, count(*) FILTER (position < at) AS events_before FROM log l JOIN
-        (SELECT correlation_id, min(position) AS at FROM log WHERE event_type IN ('activity:purchase', 'activity:error') GROUP BY 1) USING (correlation_id) GROUP BY ALL"""),
+    "wait_terminal": _q("""SELECT l.correlation_id, first_at AS terminal_position, count(*) FILTER (position < first_at) AS events_before FROM log l JOIN
+        (SELECT correlation_id, min(position) AS first_at FROM log WHERE event_type IN ('activity:purchase', 'activity:error') GROUP BY 1) USING (correlation_id) GROUP BY ALL"""),
     "batch_demultiplex": _q("""SELECT event_id, aggregate_id AS user_id, CASE WHEN aggregate_id % 2 = 0 THEN count(*) OVER (PARTITION BY aggregate_id) END AS answer,
         CASE WHEN aggregate_id % 2 <> 0 THEN 'missing result for ' || aggregate_id END AS error FROM log"""),
     "describe_all": _q("""SELECT event_id, 'bill' AS reactor_id, 'events: ' || n_events AS description FROM states UNION ALL SELECT event_id, 'alert', 'errors: ' || n_errors FROM states""", _STATES),
@@ -201,7 +201,7 @@ ORACLES = {
     "state_json_diff": _q("""SELECT position, array_to_string(list_filter([
           CASE WHEN bought AND pb IS NULL THEN '+bought' WHEN bought AND NOT pb THEN '+bought' END,
           CASE WHEN pt IS NULL THEN '+last_type' WHEN pt <> last_type THEN '~last_type' END,
-          CASE WHEN pt IS NULL THEN '+n_errors' WHEN pe <> n_errors THEN '~n_errors' END], x -> x IS NOT NULL), ',') AS diff
+          CASE WHEN pt IS NULL THEN '+n_errors' WHEN pe <> n_errors THEN '~n_errors' END], lambda x: x IS NOT NULL), ',') AS diff
         FROM (SELECT *, lag(bought) OVER w AS pb, lag(last_type) OVER w AS pt, lag(n_errors) OVER w AS pe FROM states WINDOW w AS (PARTITION BY aggregate_id ORDER BY position))""", _STATES),
     "pending_depth": _q("SELECT count(*) FILTER (status = 'running') AS pending FROM executions", _EXEC),
     "failure_rate": _q(f"""SELECT round(avg(CASE WHEN status = 'error' THEN 1.0 ELSE 0.0 END), 6) AS failure_rate, count(*) AS ended FROM executions
@@ -218,3 +218,6 @@ ORACLES = {
 from loomlog.plans.data_problems_sql import _id  # noqa: E402
 
 ORACLES["stored_correlations"] = f"SELECT * FROM (SELECT {_id('correlation_id')} AS correlation_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM stored_events GROUP BY 1) WHERE correlation_id IS NOT NULL"
+
+ORACLES["typed_events"] = """SELECT CASE WHEN json_valid(payload) THEN payload->>'$.handler' END AS handler, count(*) AS n,
+    max(TRY_CAST(CASE WHEN json_valid(payload) THEN payload->>'$.claim_no' END AS BIGINT)) AS max_claim FROM stored_events WHERE event_type = 'claim:settled' GROUP BY 1"""
