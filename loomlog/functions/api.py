@@ -35,9 +35,10 @@ def is_type(event_type: str, cls) -> bool:
     return event_type == cls.event_type or event_type.split(":", 1)[0] == cls.event_type
 
 
-def decode(event_type: str, payload: str):
+def decode(event_type: str, payload: str, types: dict[str, type] | None = None):
     """The typed event, the raw JSON value where the type is unknown, None where the payload does not fit."""
-    cls = _types.get(event_type) or _types.get(event_type.split(":", 1)[0])
+    types = _types if types is None else types
+    cls = types.get(event_type) or types.get(event_type.split(":", 1)[0])
     try:
         value = json.loads(payload)
         if cls is None:
@@ -98,6 +99,8 @@ def run_reactor(events: DataFrame, reactor_id: str, fn: Callable[[object, Contex
         "children array<struct<event_type:string,payload:string>>, logs array<struct<level:string,message:string,data:string>>"
     )
 
+    types = dict(_types)  # workers have not run the declarations
+
     def run(pdfs):
         import pandas as pd
 
@@ -106,7 +109,7 @@ def run_reactor(events: DataFrame, reactor_id: str, fn: Callable[[object, Contex
             for e in pdf.to_dict("records"):
                 ctx = Context(str(e["event_id"]), reactor_id, e["correlation_id"])
                 status, error, kids = "completed", None, []
-                value = decode(e["event_type"], e["payload"] or "null")
+                value = decode(e["event_type"], e["payload"] or "null", types)
                 if value is not None and (where is None or where(value)):
                     try:
                         for c in emitted(fn(value, ctx)):

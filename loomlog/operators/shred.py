@@ -74,42 +74,49 @@ class Automaton:
             self._names[form] = hashlib.md5(repr(form).encode("utf-8", "replace")).hexdigest()[:12]
         return self._names[form]
 
+    @staticmethod
+    def _scalar(v) -> str:
+        return "z" if v is None else "b" if isinstance(v, bool) else "n" if isinstance(v, (int, float)) else "s"
+
     def state(self, v) -> str:
-        if v is None:
-            return "z"
-        if isinstance(v, bool):
-            return "b"
-        if isinstance(v, (int, float)):
-            return "n"
-        if isinstance(v, str):
-            return "s"
-        if isinstance(v, list):
-            return self._name(("[", *sorted({self.state(x) for x in v})))
-        return self._name(("{", *sorted((k, self.state(x)) for k, x in v.items())))
+        """Bottom-up with a stack of its own, so no nesting is too deep. A field that holds records counts by name only:
+        its records have states of their own."""
+        if not isinstance(v, (dict, list)):
+            return self._scalar(v)
+        done: dict[int, str] = {}
+        stack = [(v, False)]
+        while stack:
+            x, ready = stack.pop()
+            inner = x if isinstance(x, list) else [y for k, y in x.items() if k not in RECORD_FIELDS]
+            if not ready:
+                stack.append((x, True))
+                stack.extend((y, False) for y in inner if isinstance(y, (dict, list)))
+                continue
+            of = lambda y: done[id(y)] if isinstance(y, (dict, list)) else self._scalar(y)
+            if isinstance(x, list):
+                done[id(x)] = self._name(("[", *sorted({of(y) for y in x})))
+            else:
+                done[id(x)] = self._name(("{", *sorted((k, "r" if k in RECORD_FIELDS else of(y)) for k, y in x.items())))
+        return done[id(v)]
 
     def variant(self, record: dict) -> str:
-        """The state of a record's own structure: fields that hold other records count by name only."""
-        return self._name(("{", *sorted((k, "r" if k in RECORD_FIELDS else self.state(x)) for k, x in record.items() if k not in ID_FIELDS)))
+        """The state of a record's own structure, without its id."""
+        return self.state({k: x for k, x in record.items() if k not in ID_FIELDS})
 
 
 def _filed(held, field: str, own: str):
-    """(record, id) of each record that a record field holds."""
-    held = _inner(held)
-    if isinstance(held, dict):
-        if own not in held and held and all(x is None or isinstance(_inner(x), dict) for x in held.values()):
-            for k, x in held.items():
-                x = _inner(x)
-                if isinstance(x, dict):
-                    yield x, k
-        elif held:
-            yield held, field
-    elif isinstance(held, list):
-        for x in held:
-            x = _inner(x)
-            if isinstance(x, dict):
-                yield x, field
-            elif isinstance(x, list):
-                yield from _filed(x, field, own)
+    """(record, id) of each record that a record field holds, in no order."""
+    stack = [held]
+    while stack:
+        held = _inner(stack.pop())
+        if isinstance(held, list):
+            stack.extend(x for x in held if isinstance(x, (dict, list, str)))
+        elif isinstance(held, dict) and held:
+            inner = [(k, _inner(x)) for k, x in held.items()] if own not in held else ()
+            if inner and all(x is None or isinstance(x, dict) for _, x in inner):
+                yield from ((x, k) for k, x in inner if x is not None)
+            else:
+                yield held, field
 
 
 def _text(v) -> str:

@@ -220,4 +220,4 @@ from loomlog.plans.data_problems_sql import _id  # noqa: E402
 ORACLES["stored_correlations"] = f"SELECT * FROM (SELECT {_id('correlation_id')} AS correlation_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM stored_events GROUP BY 1) WHERE correlation_id IS NOT NULL"
 
 ORACLES["typed_events"] = """SELECT CASE WHEN json_valid(payload) THEN payload->>'$.handler' END AS handler, count(*) AS n,
-    max(TRY_CAST(CASE WHEN json_valid(payload) THEN payload->>'$.claim_no' END AS BIGINT)) AS max_claim FROM stored_events WHERE event_type = 'claim:settled' GROUP BY 1"""
+    max(CASE WHEN json_valid(payload) AND json_type(payload, '$.claim_no') IN ('UBIGINT', 'BIGINT') THEN CAST(payload->>'$.claim_no' AS BIGINT) END) AS max_claim FROM stored_events WHERE event_type = 'claim:settled' GROUP BY 1"""
