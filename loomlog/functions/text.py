@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WORDS = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
@@ -114,6 +114,18 @@ def upcast_step(step: dict) -> Callable[[dict], dict]:
     return run
 
 
+#: Declared steps are code kept in a table; more than this many are refused.
+MAX_STEPS = 100_000
+
+
+def declared_steps(upcasters: DataFrame) -> list[tuple[str, int, str]]:
+    """The steps of a table ``event_prefix, from_version, transform``."""
+    rows = upcasters.select("event_prefix", "from_version", "transform").limit(MAX_STEPS + 1).collect()
+    if len(rows) > MAX_STEPS:
+        raise ValueError(f"more than {MAX_STEPS} declared steps")
+    return [tuple(r) for r in rows]
+
+
 def upcaster(steps: list[tuple[str, int, str]]) -> Callable[[Column, Column, Column], Column]:
     """A vectorised upcaster of (event prefix, from_version, step as JSON): all steps of a payload's prefix from its version
     on, in ascending order. A null version counts as 0; payloads that are no JSON object, and types without steps, stay

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions.ids import NIL
+from loomlog.session import partitions, written
 
 #: The id of singleton aggregates, of every type.
 SINGLETON = NIL
@@ -54,6 +55,39 @@ class Fold:
         w = Window.partitionBy(*self.key).orderBy(self.order).rowsBetween(Window.unboundedPreceding, 0)
         return events.select(*(keep or [*self.key, self.order]), *(self._column(f, w).alias(n) for n, f in self.fields.items()))
 
+    def running_split(self, events: DataFrame, keep: list[str] | None = None, parts: int | None = None) -> DataFrame:
+        """``running`` for keys that hold a large share of all events: the same rows, without one task per key.
+
+        Events are range-partitioned by (key, order), so a heavy key spans many partitions; each partition folds its part,
+        the parts' states (one per key and partition) are carried forward in order, and every row combines the carried
+        state with its own. One shuffle of the events more than ``running``.
+        """
+        spark = events.sparkSession
+        placed = events.repartitionByRange(parts or partitions(spark), *self.key, self.order).withColumn("_p", F.spark_partition_id())
+        placed = written(placed, "split")
+        w = Window.partitionBy("_p", *self.key).orderBy(self.order).rowsBetween(Window.unboundedPreceding, 0)
+        bare = {n: Field(f.rule, f.value, f.when) for n, f in self.fields.items()}  # defaults come last
+        keep = keep or [*self.key, self.order]
+        own = placed.select(*dict.fromkeys(["_p", *self.key, *keep]), *(self._column(f, w).alias(n) for n, f in bare.items()))
+        before = Window.partitionBy(*self.key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        totals = placed.groupBy("_p", *self.key).agg(*(self._column(f).alias(n) for n, f in bare.items()))
+        over = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "ever": F.max}
+        carried = totals.select("_p", *self.key, *((F.last(n, ignorenulls=True) if f.rule == "last" else over[f.rule](n)).over(before).alias(f"_c_{n}") for n, f in bare.items()))
+        rows = own.join(carried, ["_p", *self.key], "left")
+        out = []
+        for n, f in self.fields.items():
+            a, c = F.col(n), F.col(f"_c_{n}")
+            if f.rule == "last":
+                v = F.coalesce(a, c)
+            elif f.rule in ("min", "max"):
+                v = (F.least if f.rule == "min" else F.greatest)(a, c)
+            elif f.rule == "ever":
+                v = a | F.coalesce(c, F.lit(False))
+            else:
+                v = F.when(a.isNull(), c).otherwise(a + F.coalesce(c, F.lit(0)))
+            out.append((v if f.default is None else F.coalesce(v, F.lit(f.default))).alias(n))
+        return rows.select(*keep, *out)
+
     def final(self, events: DataFrame) -> DataFrame:
         """The state after the last event, map-side combined."""
         return events.groupBy(*self.key).agg(*(self._column(f).alias(n) for n, f in self.fields.items()))
@@ -153,6 +187,7 @@ def islands(events: DataFrame, of: str, order: str) -> DataFrame:
     # only the first and last run of a partition can continue another: per partition two rows meet in one place
     edge_w = Window.partitionBy("_p")
     pieces = pieces.withColumn("_edge", (F.col("_run") == F.min("_run").over(edge_w)) | (F.col("_run") == F.max("_run").over(edge_w)))
+    pieces = written(pieces, "islands")  # range bounds are sampled: both readers below must see the same partitions
     edges = pieces.filter("_edge")
     w = Window.orderBy("first")
     edges = edges.withColumn("_new", F.coalesce(((F.lag(of).over(w) != F.col(of)) | (F.lag("_p").over(w) == F.col("_p"))).cast("int"), F.lit(1)))

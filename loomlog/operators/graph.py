@@ -17,8 +17,8 @@ def causal_tree(log: DataFrame, position: int) -> DataFrame:
     """All events of the correlation of one event, each with ``root_position``: the first parentless event's position, or
     the given one where there is none. An unknown position gives no rows."""
     tree = log.join(F.broadcast(correlation_of(log, position)), "correlation_id", "left_semi")
-    root = tree.agg(F.coalesce(F.min(F.when(F.col("parent_id").isNull(), F.col("position"))), F.lit(position)).cast("bigint").alias("root_position"))
-    return tree.join(F.broadcast(root))
+    root = tree.agg(F.min(F.when(F.col("parent_id").isNull(), F.col("position")))).first()[0]
+    return tree.withColumn("root_position", F.lit(position if root is None else root).cast("bigint"))
 
 
 def causal_flow(log: DataFrame, correlation_id: str) -> DataFrame:

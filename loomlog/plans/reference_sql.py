@@ -221,3 +221,4 @@ ORACLES["stored_correlations"] = f"SELECT * FROM (SELECT {_id('correlation_id')}
 
 ORACLES["typed_events"] = """SELECT CASE WHEN json_valid(payload) THEN payload->>'$.handler' END AS handler, count(*) AS n,
     max(CASE WHEN json_valid(payload) AND json_type(payload, '$.claim_no') IN ('UBIGINT', 'BIGINT') THEN CAST(payload->>'$.claim_no' AS BIGINT) END) AS max_claim FROM stored_events WHERE event_type = 'claim:settled' GROUP BY 1"""
+ORACLES["aggregate_fold_user_split"] = ORACLES["aggregate_fold_user_running"]

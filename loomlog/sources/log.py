@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.session import written
+
 #: The largest pages of the two read paths.
 MAX_PAGE, MAX_FEED = 200, 500
 
@@ -75,13 +77,14 @@ def append(log: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """
     first = Window.partitionBy("event_id").orderBy(order)
     fresh = new.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth").join(log.select("event_id"), "event_id", "left_anti")
-    # number the partitions' rows, then shift each partition by those before: no global sort in one task
+    # Number the rows inside range partitions, then shift each partition by those before: no global sort in one task. The
+    # partitions are written first, because range bounds are sampled and may differ when computed again.
     placed = fresh.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    placed = written(placed, "append")
     top = log.agg(F.coalesce(F.max("position"), F.lit(0)).alias("top")).first()["top"]
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy("_id"))
-    counted = placed.withColumn("_nth", nth)
+    counted = placed.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy("_id")))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counted.groupBy("_part").agg(F.max("_nth").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    shifts = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     numbered = counted.join(shifts, "_part").withColumn("position", (F.lit(top) + F.col("_shift") + F.col("_nth")).cast("bigint"))
     touched = numbered.select("aggregate_type", "aggregate_id").distinct()
     have = log.join(touched, ["aggregate_type", "aggregate_id"], "left_semi").groupBy("aggregate_type", "aggregate_id").agg(F.max("version").alias("_have"))

@@ -88,6 +88,26 @@ def test_a_snapshot_at_any_version_changes_nothing(spark, n):
     assert key(FOLD().seeded(snaps, log)) == key(FOLD().final(log))
 
 
+def test_split_folds_equal_running_ones(spark):
+    log, _ = make(spark, 400, 9)
+    log = log.withColumn("aggregate_id", F.when(F.col("event_id") % 3 > 0, 7).otherwise(F.col("aggregate_id")))  # one key has two thirds
+    f = FOLD()
+    f.fields["none"] = fold.Field("last", value=F.when(F.col("event_id") < 0, F.lit("x")))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(f.running(log)) == key(f.running_split(log, parts=7))
+    assert f.running_split(log.limit(0), parts=3).count() == 0
+
+
+def test_percentiles(spark):
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice("ab"), rng.choice([None, *range(20)])) for _ in range(900)] + [("one", 5), (None, 1), ("nulls", None)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    ps = {"p0": 0.0, "p33": 0.33, "p50": 0.5, "p100": 1.0}
+    want = {r["g"]: [r["p"][i] for i in range(4)] for r in df.filter("g is not null and v is not null").groupBy("g").agg(F.percentile("v", list(ps.values())).alias("p")).collect()}
+    got = {r["g"]: [r[n] for n in ps] for r in monitor.percentiles(df, "g", "v", ps, 5).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
 def test_transition_fires_once(spark):
     rows = [(i, 1, k) for i, k in enumerate(["draft", "placed", "placed", "shipped", "placed"])]
     df = spark.createDataFrame(rows, "position bigint, aggregate_id bigint, event_type string")
