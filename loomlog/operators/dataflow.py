@@ -90,6 +90,12 @@ def hop_gate(events: DataFrame, hops: str = "hops") -> tuple[DataFrame, DataFram
     return events.filter(F.col(hops) < MAX_HOPS), events.filter(F.col(hops) >= MAX_HOPS)
 
 
+def attempt_gate(events: DataFrame, attempts: str = "attempts") -> tuple[DataFrame, DataFrame]:
+    """(events to process, events to park): an event that keeps failing is parked after its attempts."""
+    tries = F.coalesce(attempts, F.lit(0))
+    return events.filter(tries <= MAX_EVENT_ATTEMPTS), events.filter(tries > MAX_EVENT_ATTEMPTS)
+
+
 def cancelled(rows: DataFrame, cancellations: DataFrame, now: Column, ttl_s: int = DEFAULT_CANCEL_TTL_S) -> DataFrame:
     """The cancellations in force: not older than their time to live."""
     live = cancellations.filter(F.col("cancelled_at") >= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_s)))

@@ -131,3 +131,9 @@ def observability_stream(log: DataFrame, executions: DataFrame) -> DataFrame:
         F.when(F.col("status") == "error", "effect_failed").otherwise("effect_completed").alias("stream_type"), "correlation_id", "event_id", "reactor_id", F.col("completed_at").alias("at")
     )
     return dispatched.unionByName(started).unionByName(ended)
+
+
+def flow_selection(log: DataFrame, event_type: str | None = None, reactor_id: str | None = None) -> DataFrame:
+    """The events of a selected node of the flow graph."""
+    q = log if event_type is None else log.filter(F.col("event_type") == event_type)
+    return q if reactor_id is None else q.filter(F.col("reactor_id") == reactor_id)

@@ -11,6 +11,7 @@ from loomlog.operators import dataflow, fold, graph, inspect, monitor
 from loomlog.operators.dataflow import Reactor, Registry
 from loomlog.session import table
 from loomlog.sources import log as L
+from loomlog.sources import queue as Q
 from loomlog.sources.fixtures import events_log, executions, order_stream, reactor_logs
 
 QUERIES = {}
@@ -726,3 +727,65 @@ def stored_correlations(s, d):
     e = table(s, d, "stored_events").select(id_key("correlation_id").alias("k"), "ts", "seq", "event_type").filter("k is not null")
     c = e.groupBy("k").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     return c.select(id_text("k").alias("correlation_id"), "n", "first_ts", "last_ts")
+
+
+# --- the stored queue ----------------------------------------------------------------------------------------------
+
+
+def _commits(s, d) -> DataFrame:
+    """The stored commits; repeated rows count once."""
+    return table(s, d, "intent_commits").dropDuplicates(["event_id"])
+
+
+@query
+def commit_intents(s, d):
+    """Queued work per reactor and priority."""
+    return Q.intents(_commits(s, d)).groupBy("reactor_id", "priority").agg(
+        F.count("*").alias("n"), F.min("execute_at").alias("earliest_at"), F.max("hops").alias("max_hops"), F.max("timeout_seconds").alias("longest_timeout")
+    )
+
+
+@query
+def commit_descriptions(s, d):
+    """The newest description of each correlation and reactor."""
+    x = Q.descriptions(_commits(s, d))
+    return x.groupBy("correlation_id", "reactor_id").agg(F.max("at").alias("at"), F.count("*").alias("n"))
+
+
+@query
+def commit_parked(s, d):
+    return _commits(s, d).groupBy(F.coalesce("park_reason", F.lit("none")).alias("park_reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def commit_projection_failures(s, d):
+    """Failures of projections, recorded and not fatal."""
+    f = _commits(s, d).select(F.explode("projection_failures").alias("failure"))
+    return f.groupBy(F.substring_index("failure", ":", 1).alias("projection")).agg(F.count("*").alias("n"))
+
+
+@query
+def commit_checkpoint(s, d):
+    return _commits(s, d).agg(F.coalesce(F.max("checkpoint"), F.lit(0)).cast("bigint").alias("checkpoint"))
+
+
+@query
+def stateful_filter(s, d):
+    """Events a reactor accepts by the state as of the event: purchases of users with three errors or more so far."""
+    st = _user_states(s, d).select("event_id", "n_errors")
+    return events_log(s, d).filter("event_type = 'activity:purchase'").join(st, "event_id").filter("n_errors >= 3").select("event_id", "correlation_id", "n_errors")
+
+
+@query
+def flow_selection(s, d):
+    return inspect.flow_selection(events_log(s, d), reactor_id="on_error_1").select("position", "event_id", "event_type")
+
+
+@query
+def stored_outcomes(s, d):
+    """Outcomes of the stored executions per reactor; repeated rows count once."""
+    o = table(s, d, "reactor_outcomes").dropDuplicates(["outcome_no"])
+    return o.groupBy("reactor_id").agg(
+        F.count("*").alias("n"), F.sum("attempts").alias("attempts"), F.count_if(F.col("status") == "error").alias("n_errors"),
+        F.min("started_at").alias("first_start"), F.max(F.when(F.col("status") == "completed", F.col("completed_at"))).alias("last_end"),
+    )

@@ -222,3 +222,19 @@ ORACLES["stored_correlations"] = f"SELECT * FROM (SELECT {_id('correlation_id')}
 ORACLES["typed_events"] = """SELECT CASE WHEN json_valid(payload) THEN payload->>'$.handler' END AS handler, count(*) AS n,
     max(CASE WHEN json_valid(payload) AND json_type(payload, '$.claim_no') IN ('UBIGINT', 'BIGINT') THEN CAST(payload->>'$.claim_no' AS BIGINT) END) AS max_claim FROM stored_events WHERE event_type = 'claim:settled' GROUP BY 1"""
 ORACLES["aggregate_fold_user_split"] = ORACLES["aggregate_fold_user_running"]
+
+_COMMITS = "WITH c AS (SELECT DISTINCT ON (event_id) * FROM intent_commits), i AS (SELECT event_id, unnest(intents) AS i FROM c)"
+_OBJECT = "CASE WHEN json_valid(reactor_descriptions) AND json_type(reactor_descriptions) = 'OBJECT' THEN reactor_descriptions END"
+ORACLES |= {
+    "commit_intents": f"""{_COMMITS} SELECT i.reactor_id AS reactor_id, coalesce(i.priority, 10) AS priority, count(*) AS n, min(i.execute_at) AS earliest_at,
+        max(coalesce(i.hops, 0)) AS max_hops, max(greatest(coalesce(i.timeout_seconds, 900), 1)) AS longest_timeout FROM i WHERE i IS NOT NULL GROUP BY ALL""",
+    "commit_descriptions": f"""{_COMMITS} SELECT correlation_id, reactor_id, max(checkpoint) AS at, count(*) AS n FROM
+        (SELECT correlation_id, checkpoint, unnest(json_keys({_OBJECT})) AS reactor_id FROM c) GROUP BY ALL""",
+    "commit_parked": f"{_COMMITS} SELECT coalesce(park_reason, 'none') AS park_reason, count(*) AS n FROM c GROUP BY 1",
+    "commit_projection_failures": f"{_COMMITS} SELECT split_part(f, ':', 1) AS projection, count(*) AS n FROM (SELECT unnest(projection_failures) AS f FROM c) GROUP BY 1",
+    "commit_checkpoint": "SELECT coalesce(max(checkpoint), 0) AS checkpoint FROM intent_commits",
+    "stateful_filter": _q("SELECT event_id, correlation_id, n_errors FROM states WHERE last_type = 'activity:purchase' AND n_errors >= 3", _STATES),
+    "flow_selection": _q("SELECT position, event_id, event_type FROM log WHERE reactor_id = 'on_error_1'"),
+    "stored_outcomes": """SELECT reactor_id, count(*) AS n, CAST(sum(attempts) AS BIGINT) AS attempts, count(*) FILTER (status = 'error') AS n_errors, min(started_at) AS first_start,
+        max(completed_at) FILTER (status = 'completed') AS last_end FROM (SELECT DISTINCT ON (outcome_no) * FROM reactor_outcomes) GROUP BY 1""",
+}

@@ -63,6 +63,12 @@ def list_events(log: DataFrame, limit: int, cursor=None, since=None, until=None,
     return q.orderBy(F.desc("position")).limit(min(limit, MAX_PAGE))
 
 
+def page(log: DataFrame, limit: int, **filters) -> tuple[list, int | None]:
+    """(rows, next cursor): the cursor is the last row's position if the page is full, else None."""
+    rows = list_events(log, limit, **filters).collect()
+    return rows, rows[-1]["position"] if rows and len(rows) == min(limit, MAX_PAGE) else None
+
+
 def most_recent(log: DataFrame, capacity: int) -> DataFrame:
     """What a bounded cache with first-in-first-out eviction holds."""
     return log.orderBy(F.desc("position")).limit(capacity)
