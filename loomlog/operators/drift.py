@@ -87,10 +87,11 @@ def _observe(batches):
 
 
 def observe(lines: DataFrame) -> DataFrame:
-    """The distinct (file, event type, path, type, value) of ``lines``; a row with null path says the type has lines."""
+    """The (file, event type, path, type, value) facts of ``lines``, repeats removed only within an Arrow batch; a row with
+    null path says the type has lines."""
     rows = lines.select("producer", "event_type", F.col("segment_no").cast("bigint").alias("segment_no"), "payload")
     ddl = "producer string, event_type string, segment_no bigint, path string, type string, atom string"
-    return rows.mapInArrow(_observe, ddl).distinct()
+    return rows.mapInArrow(_observe, ddl)
 
 
 def changes(facts: DataFrame) -> DataFrame:
@@ -100,30 +101,31 @@ def changes(facts: DataFrame) -> DataFrame:
     A removed and an added field of one file are a rename when they share values; of several candidates the pair with
     most shared values goes first (ties: by name), each field in one pair.
     """
-    facts = written(facts, "facts").filter("producer is not null and event_type is not null and segment_no is not null")
-    segments = facts.select(*_KEYS).distinct()
+    facts = written(facts.filter("producer is not null and event_type is not null and segment_no is not null"), "facts")
+    fields = written(facts.groupBy(*_KEYS, "path").agg(F.array_sort(F.collect_set("type")).alias("types")), "fields")
     order = Window.partitionBy("producer", "event_type").orderBy("segment_no")
+    segments = fields.select(*_KEYS).distinct()
     steps = segments.withColumn("prev", F.lag("segment_no").over(order)).withColumn("next", F.lead("segment_no").over(order))
-    real = facts.filter("path is not null").join(steps, _KEYS)
-    fields = real.groupBy(*_KEYS, "path", "prev", "next").agg(F.array_sort(F.collect_set("type")).alias("types"))
-    now = fields.filter("prev is not null").select(*_KEYS, "path", F.col("types").alias("now"))
-    before = fields.filter("next is not null").select(
-        "producer", "event_type", F.col("next").alias("segment_no"), "path", F.col("types").alias("before")
+    real = fields.filter("path is not null").join(steps, _KEYS)
+    now = real.filter("prev is not null").select(*_KEYS, "path", F.col("types").alias("now"))
+    before = real.filter("next is not null").select(
+        "producer", "event_type", F.col("next").alias("segment_no"), "path", F.col("types").alias("before"), F.col("segment_no").alias("was")
     )
     both = before.join(now, [*_KEYS, "path"], "full_outer").select(
-        *_KEYS, "path",
+        *_KEYS, "path", "was",
         F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed")
         .when((F.size("before") > 0) & (F.size("now") > 0) & (F.col("before") != F.col("now")), "retyped").alias("change"),
     ).filter("change is not null")
     both = written(both, "changes")
-    gone = both.filter("change = 'removed'").select(*_KEYS, "path")
-    come = both.filter("change = 'added'").select(*_KEYS, "path")
-    old_values = real.filter("next is not null and atom is not null").select("producer", "event_type", F.col("next").alias("segment_no"), "path", "atom").distinct().join(gone, [*_KEYS, "path"], "left_semi")
-    new_values = real.filter("prev is not null and atom is not null").select(*_KEYS, "path", "atom").distinct().join(come, [*_KEYS, "path"], "left_semi")
-    shared = (
-        old_values.withColumnRenamed("path", "old_field").join(new_values.withColumnRenamed("path", "field"), [*_KEYS, "atom"])
-        .groupBy(*_KEYS, "old_field", "field").agg(F.count("*").alias("common"))
-    )
+    # the values of fields that came or went, each read in the file that has the field
+    wanted = both.filter("change in ('added', 'removed')").select(
+        "producer", "event_type", F.coalesce("was", "segment_no").alias("of"), "path", F.col("segment_no").alias("at"), "change"
+    )
+    values = facts.filter("atom is not null").withColumnRenamed("segment_no", "of").join(wanted, ["producer", "event_type", "of", "path"])
+    values = values.select("producer", "event_type", F.col("at").alias("segment_no"), "change", "path", "atom").distinct()
+    old = values.filter("change = 'removed'").select(*_KEYS, "atom", F.col("path").alias("old_field"))
+    new = values.filter("change = 'added'").select(*_KEYS, "atom", F.col("path").alias("field"))
+    shared = old.join(new, [*_KEYS, "atom"]).groupBy(*_KEYS, "old_field", "field").agg(F.count("*").alias("common"))
     renamed = shared.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.struct((-F.col("common")).alias("c"), "old_field", "field"))).alias("p")).select(
         *_KEYS, F.explode(_greedy("p")).alias("r")
     ).select(*_KEYS, F.col("r.field").alias("field"), F.col("r.old_field").alias("old_field"))
