@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.operators.shred import parse
+from loomlog.operators.shred import parse, texts
 from loomlog.session import written
 
 _KEYS = ["producer", "event_type", "segment_no"]
@@ -69,20 +69,25 @@ _FACTS = pa.schema(
 def _observe(batches):
     for b in batches:
         seen = set()
+        add = seen.add
         for producer, kind, segment, text in zip(*(c.to_pylist() for c in b.columns)):
             v = json_object(text)
             if v is None:
                 continue
-            seen.add((producer, kind, segment, None, None, None))
+            add((producer, kind, segment, None, None, None))
             for path, x in leaves(v):
-                of, values = json_type(x), set(atoms(x))
-                for a in values or (None,):
-                    seen.add((producer, kind, segment, path, of, a))
+                if x.__class__ is str:
+                    add((producer, kind, segment, path, "string", x))
+                elif x.__class__ is int:
+                    add((producer, kind, segment, path, "number", str(x)))
+                else:
+                    of = json_type(x)
+                    for a in set(atoms(x)) or (None,):
+                        add((producer, kind, segment, path, of, a))
         rows = list(seen)
         for i in range(0, len(rows), 10_000):
-            part = rows[i : i + 10_000]
-            columns = zip(*part)
-            arrays = [pa.array(c, f.type) if f.name == "segment_no" else pa.array([x if x is None else x.encode("utf-8", "replace").decode() for x in c], f.type) for c, f in zip(columns, _FACTS)]
+            columns = zip(*rows[i : i + 10_000])
+            arrays = [pa.array(c, pa.int64()) if f.name == "segment_no" else texts(c) for c, f in zip(columns, _FACTS)]
             yield pa.RecordBatch.from_arrays(arrays, schema=_FACTS)
 
 
@@ -168,10 +173,10 @@ def _ingester(columns: dict[str, str], renames: dict[str, str]):
 
     def run(batches):
         for b in batches:
-            texts = b.column("payload").to_pylist()
+            payloads = b.column("payload").to_pylist()
             out = {c: [] for c in columns}
             rescued = []
-            for text in texts:
+            for text in payloads:
                 v = json_object(text)
                 if v is None:
                     for c in columns:
@@ -193,7 +198,7 @@ def _ingester(columns: dict[str, str], renames: dict[str, str]):
                 rescued.append(json.dumps(left, ensure_ascii=False) if left else None)
             keep = [b.column(c) for c in b.schema.names if c != "payload"]
             names = [c for c in b.schema.names if c != "payload"]
-            made = [pa.array(out[c], kinds[k]) for c, k in columns.items()] + [pa.array([None if r is None else r.encode("utf-8", "replace").decode() for r in rescued], pa.string())]
+            made = [pa.array(out[c], kinds[k]) for c, k in columns.items()] + [texts(rescued)]
             yield pa.RecordBatch.from_arrays(keep + made, names=[*names, *(_column(c) for c in columns), "_rescued"])
 
     return run

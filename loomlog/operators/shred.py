@@ -48,6 +48,14 @@ def parse(text: str | None):
         return None
 
 
+def texts(values) -> pa.Array:
+    """Strings for Arrow; lone surrogates, which JSON escapes can spell, become question marks."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([None if x is None else x.encode("utf-8", "replace").decode() for x in values], pa.string())
+
+
 def _inner(v):
     """A text that is itself JSON for an object or list is that value."""
     while isinstance(v, str):
@@ -149,10 +157,6 @@ def records(value, automaton: Automaton):
                     stack.append((record, rid))
 
 
-def _clean(s: str | None) -> str | None:
-    return None if s is None else s.encode("utf-8", "replace").decode("utf-8")
-
-
 def _shredder(source: str, per_key: bool):
     def run(batches):
         automaton = Automaton()
@@ -170,8 +174,7 @@ def _shredder(source: str, per_key: bool):
                     out.extend((source, event, key, *r) for r in records(held, automaton))
             for i in range(0, len(out), 10_000):
                 rows = out[i : i + 10_000]
-                columns = [[_clean(r[j]) for r in rows] for j in range(7)] + [[_clean(r[7]) for r in rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], schema=_SCHEMA)
+                yield pa.RecordBatch.from_arrays([texts(c) for c in zip(*rows)], schema=_SCHEMA)
 
     return run
 
