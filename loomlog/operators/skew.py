@@ -19,6 +19,7 @@ _PARTIAL = pa.schema(
     [("field", pa.string()), ("key", pa.binary()), ("n", pa.int64()), ("first_seq", pa.int64()), ("last_seq", pa.int64()),
      ("first_ts", pa.int64()), ("last_ts", pa.int64()), ("max_step", pa.int64())]
 )
+_NO_SEQ = -(1 << 63)
 _PARTIAL_DDL = "field string, key binary, n bigint, first_seq bigint, last_seq bigint, first_ts bigint, last_ts bigint, max_step bigint"
 
 
@@ -50,9 +51,11 @@ def profile(rows: DataFrame, parts: int | None = None) -> DataFrame:
     events that follow each other by ``seq``.
 
     ``rows``: ``field`` string, ``key`` binary (not null), ``seq`` bigint, ``ts`` bigint (0 where the row has no time).
-    Ties in ``seq`` count as neighbours in any order. Empty input, empty result.
+    Ties in ``seq`` count as neighbours in any order. A row without ``seq`` counts and stands before all others (its
+    ``first_seq`` is null). Empty input, empty result.
     """
-    placed = rows.select("field", "key", "seq", "ts").repartitionByRange(
+    seq = F.coalesce("seq", F.lit(_NO_SEQ)).alias("seq")
+    placed = rows.select("field", "key", seq, F.coalesce("ts", F.lit(0)).alias("ts")).repartitionByRange(
         parts or partitions(rows.sparkSession), "field", "key", "seq"
     )
     partial = placed.sortWithinPartitions("field", "key", "seq").mapInArrow(_runs, _PARTIAL_DDL)
@@ -68,7 +71,7 @@ def profile(rows: DataFrame, parts: int | None = None) -> DataFrame:
     )
     return states.select(
         "field", "key", "n",
-        F.col("s")[0]["first_seq"].alias("first_seq"), F.element_at("s", -1)["last_seq"].alias("last_seq"),
+        F.nullif(F.col("s")[0]["first_seq"], F.lit(_NO_SEQ)).alias("first_seq"), F.nullif(F.element_at("s", -1)["last_seq"], F.lit(_NO_SEQ)).alias("last_seq"),
         F.col("s")[0]["first_ts"].alias("first_ts"), F.element_at("s", -1)["last_ts"].alias("last_ts"),
         F.greatest(inner, seams).alias("max_step"),
     )
