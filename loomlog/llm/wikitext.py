@@ -13,18 +13,18 @@ import unicodedata
 import numpy as np
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_NOWIKI = re.compile(r"<nowiki\s*>(.*?)</nowiki\s*>", re.S | re.I)
+_NOWIKI = re.compile(r"<nowiki\s*>((?:(?!<nowiki\s*>).)*?)</nowiki\s*>", re.S | re.I)
 _REF_EMPTY = re.compile(r"<ref\b[^<>]*/\s*>", re.I)
 _REF = re.compile(r"<ref\b[^<>]*>(?:(?!<ref\b).)*?</ref\s*>", re.S | re.I)
-_MATH = re.compile(r"<(math|templatedata|timeline|score|syntaxhighlight)\b[^<>]*>.*?</\1\s*>", re.S | re.I)
-_GALLERY = re.compile(r"(<gallery\b[^<>]*>)(.*?)(</gallery\s*>)", re.S | re.I)
+_MATH = re.compile(r"<(math|templatedata|timeline|score|syntaxhighlight)\b[^<>]*>(?:(?!<\1\b).)*?</\1\s*>", re.S | re.I)
+_GALLERY = re.compile(r"(<gallery\b[^<>]*>)((?:(?!<gallery\b).)*?)(</gallery\s*>)", re.S | re.I)
 _GALLERY_TARGET = re.compile(r"^[^|\n]*\|?", re.M)
-_TEMPLATE = re.compile(r"\{\{\{(?:[^{}]|\{(?!\{)|\}(?!\}))*\}\}\}|\{\{(?:[^{}]|\{(?!\{)|\}(?!\}))*\}\}")
+_BRACES = re.compile(r"\{\{+|\}\}+")
 _TABLE_LINE = re.compile(r"^[ \t:]*(?:\{\||\|-).*$", re.M)
-_ATTRIBUTE = r"""[\w-]+\s*=\s*(?:"[^"\n]*"|'[^'\n]*'|[\w%#.-]+)"""
-_CELL = re.compile(rf"((?:^[ \t]*[|!])|\|\||!!)[ \t]*(?:{_ATTRIBUTE}\s*)+\|(?!\|)", re.M)
-_LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
-_EXTERNAL = re.compile(r"\[(?:https?:|ftp:|mailto:)?//[^\s\[\]]*[ \t]*([^\[\]\n]*)\]", re.I)
+_ATTRIBUTE = r"""[\w-]++\s*+=\s*+(?:"[^"\n]*+"|'[^'\n]*+'|[\w%#.-]++)\s*+"""
+_CELL = re.compile(rf"((?:^[ \t]*+[|!])|\|\||!!)[ \t]*+(?:{_ATTRIBUTE})++\|(?!\|)", re.M)
+_BRACKETS = re.compile(r"\[\[|\]\]")
+_EXTERNAL = re.compile(r"\[(?:https?:|ftp:|mailto:)?//[^\s\[\]]*+[ \t]*+([^\[\]\n]*+)\]", re.I)
 _BREAK = re.compile(r"<(?:br|hr|p|div|li|tr|td|th)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _QUOTES = re.compile(r"''+")
@@ -39,8 +39,8 @@ _SHIELD = str.maketrans("{}[]<>|'&=!_", "".join(map(chr, range(0xE100, 0xE10C)))
 _UNSHIELD = {0xE100 + i: c for i, c in enumerate("{}[]<>|'&=!_")}
 
 
-def _shown(m: re.Match) -> str:
-    inner = m[1]
+def _shown(inner: str) -> str:
+    """What a link with this content shows."""
     target, bar, label = inner.partition("|")
     space, colon, _ = target.partition(":")
     if colon and space.strip():
@@ -54,7 +54,56 @@ def _shown(m: re.Match) -> str:
         return target.lstrip(":")
     if label:
         return label
-    return re.sub(r"\s*\([^()]*\)\s*\Z", "", target.lstrip(":").rpartition(":")[2])  # the pipe trick
+    name = target.lstrip(":").rpartition(":")[2].strip()  # the pipe trick
+    return name[: name.rfind("(")].rstrip() if name.endswith(")") and "(" in name else name
+
+
+def _without_templates(t: str) -> str:
+    """``t`` without templates and parameters, however deep they nest, in one pass; unmatched braces stay."""
+    stack: list[list[int]] = []  # [position, braces] of open runs
+    spans: list[tuple[int, int]] = []  # outermost matched spans so far
+    for m in _BRACES.finditer(t):
+        n = m.end() - m.start()
+        if t[m.start()] == "{":
+            stack.append([m.start(), n])
+            continue
+        at = m.start()
+        while n >= 2 and stack:
+            run = stack[-1]
+            take = 3 if n >= 3 and run[1] >= 3 else 2
+            run[1] -= take
+            n -= take
+            at += take
+            start = run[0] + run[1]
+            while spans and spans[-1][0] >= start:
+                spans.pop()
+            spans.append((start, at))
+            if run[1] < 2:
+                stack.pop()
+    out, done = [], 0
+    for a, e in spans:
+        out.append(t[done:a])
+        done = e
+    out.append(t[done:])
+    return "".join(out)
+
+
+def _with_links_shown(t: str) -> str:
+    """``t`` with each link replaced by what it shows, innermost first, in one pass; unmatched brackets stay."""
+    stack: list[list[str]] = [[]]
+    done = 0
+    for m in _BRACKETS.finditer(t):
+        stack[-1].append(t[done : m.start()])
+        done = m.end()
+        if m[0] == "[[":
+            stack.append([])
+        elif len(stack) > 1:
+            inner = "".join(stack.pop())
+            stack[-1].append(_shown(inner))
+        else:
+            stack[-1].append("]]")
+    stack[-1].append(t[done:])
+    return "[[".join("".join(parts) for parts in stack)
 
 
 def _entity(m: re.Match) -> str:
@@ -83,16 +132,12 @@ def readable(text: str) -> str:
             t = _MATH.sub("", t)
             if "<gallery" in low:
                 t = _GALLERY.sub(lambda m: m[1] + _GALLERY_TARGET.sub("", m[2]) + m[3], t)
-    while "{{" in t:
-        t, n = _TEMPLATE.subn("", t)
-        if not n:
-            break
+    if "{{" in t:
+        t = _without_templates(t)
     if "{|" in t or "\n|" in t or "\n!" in t or t[:1] in "|!":
         t = _CELL.sub(r"\1 ", _TABLE_LINE.sub("", t))
-    while "[[" in t:
-        t, n = _LINK.subn(_shown, t)
-        if not n:
-            break
+    if "[[" in t:
+        t = _with_links_shown(t)
     if "//" in t and "[" in t:
         t = _EXTERNAL.sub(r"\1", t)
     if "<" in t:
