@@ -34,6 +34,8 @@ def canon(v):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "BatchEvalPython" not in plan
     rows = df.collect()
     if name not in ORACLES:
         assert df.columns
@@ -46,6 +48,17 @@ def test_query(spark, duck, name):
     assert sorted(tuple(canon(x[c]) for c in order) for x in rows) == want
 
 
+def test_filters_and_columns_reach_the_scan(spark):
+    from loomlog.sources import log as L
+    from loomlog.sources.fixtures import events_log
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    page = plan(L.list_events(events_log(spark, DATA), 50, cursor=900))
+    assert "LessThan(position,900)" in page and "TakeOrderedAndProject" in page
+    scan = [x for x in plan(data_problems.p2_found(spark, DATA)).splitlines() if "ReadSchema" in x]
+    assert all("payload" not in x for x in scan)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["id", "top_id", "depth"]
     assert set(QUERIES) <= set(entry.queries())
