@@ -1,4 +1,4 @@
-"""Causal trees and flow graphs of a log."""
+"""Lineage trees and flow graphs of a log."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def correlation_of(log: DataFrame, position: int) -> DataFrame:
     return log.filter((F.col("position") == position) & F.col("correlation_id").isNotNull()).select("correlation_id").limit(1)
 
 
-def causal_tree(log: DataFrame, position: int) -> DataFrame:
+def lineage_tree(log: DataFrame, position: int) -> DataFrame:
     """All events of the correlation of one event, each with ``root_position``: the first parentless event's position, or
     the given one where there is none. An unknown position gives no rows."""
     tree = log.join(F.broadcast(correlation_of(log, position)), "correlation_id", "left_semi")
@@ -21,7 +21,7 @@ def causal_tree(log: DataFrame, position: int) -> DataFrame:
     return tree.withColumn("root_position", F.lit(position if root is None else root).cast("bigint"))
 
 
-def causal_flow(log: DataFrame, correlation_id: str) -> DataFrame:
+def lineage_flow(log: DataFrame, correlation_id: str) -> DataFrame:
     return log.filter(F.col("correlation_id") == correlation_id)
 
 

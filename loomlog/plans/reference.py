@@ -332,13 +332,13 @@ def display_projection(s, d):
 
 
 @query
-def causal_tree(s, d):
-    return graph.causal_tree(events_log(s, d), AT).select("position", "event_id", "parent_id", "root_position")
+def lineage_tree(s, d):
+    return graph.lineage_tree(events_log(s, d), AT).select("position", "event_id", "parent_id", "root_position")
 
 
 @query
-def causal_flow(s, d):
-    return graph.causal_flow(events_log(s, d), FLOW).select("position", "event_id", "parent_id", "event_type")
+def lineage_flow(s, d):
+    return graph.lineage_flow(events_log(s, d), FLOW).select("position", "event_id", "parent_id", "event_type")
 
 
 @query
@@ -352,7 +352,7 @@ def tree_edges(s, d):
 
 
 @query
-def causal_depth(s, d):
+def lineage_depth(s, d):
     return graph.depths(events_log(s, d))
 
 

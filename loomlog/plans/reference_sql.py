@@ -134,12 +134,12 @@ ORACLES = {
         UNION ALL SELECT 'effect_started', correlation_id, event_id, reactor_id, started_at FROM executions
         UNION ALL SELECT CASE status WHEN 'error' THEN 'effect_failed' ELSE 'effect_completed' END, correlation_id, event_id, reactor_id, completed_at FROM executions WHERE status <> 'running'""", _EXEC),
     "display_projection": _q("SELECT position, event_type AS name, '{ k: ' || (payload->>'$.k') || ' }' AS summary, reactor_id FROM log"),
-    "causal_tree": _q("""SELECT position, event_id, parent_id, (SELECT min(position) FROM log WHERE parent_id IS NULL AND correlation_id = (SELECT correlation_id FROM log WHERE position = 500)) AS root_position
+    "lineage_tree": _q("""SELECT position, event_id, parent_id, (SELECT min(position) FROM log WHERE parent_id IS NULL AND correlation_id = (SELECT correlation_id FROM log WHERE position = 500)) AS root_position
         FROM log WHERE correlation_id = (SELECT correlation_id FROM log WHERE position = 500)"""),
-    "causal_flow": _q("SELECT position, event_id, parent_id, event_type FROM log WHERE correlation_id = 'u8-1'"),
+    "lineage_flow": _q("SELECT position, event_id, parent_id, event_type FROM log WHERE correlation_id = 'u8-1'"),
     "tree_roots": _q("SELECT position, event_id, correlation_id FROM log WHERE parent_id IS NULL OR parent_id NOT IN (SELECT event_id FROM log)"),
     "tree_edges": _q("SELECT c.event_id, c.parent_id, p.position AS parent_position, p.event_type AS parent_type, c.reactor_id FROM log c JOIN log p ON c.parent_id = p.event_id"),
-    "causal_depth": _q("SELECT * FROM depth", _DEPTH, recursive=True),
+    "lineage_depth": _q("SELECT * FROM depth", _DEPTH, recursive=True),
     "subtree": _q("""SELECT event_id, parent_id, CAST(depth AS INTEGER) AS level FROM depth JOIN log USING (event_id)
         WHERE correlation_id = (SELECT correlation_id FROM log GROUP BY 1 ORDER BY count(*) DESC, min(position) LIMIT 1)""", _DEPTH, recursive=True),
     "children_by_reactor": _q("SELECT parent_id, coalesce(reactor_id, '') AS reactor_id, count(*) AS n_children, min(position) AS first_position FROM log WHERE parent_id IS NOT NULL GROUP BY ALL"),

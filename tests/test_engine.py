@@ -195,8 +195,8 @@ def test_subtree_and_tree(spark):
     log = spark.createDataFrame(rows, LOG)
     assert {(r["event_id"], r["level"]) for r in graph.subtree(log, 1).collect()} == {(0, 0), (1, 1), (3, 1), (2, 2)}
     assert {r["event_id"] for r in graph.roots(log).collect()} == {0, 4, 5}
-    assert graph.causal_tree(log, 77).count() == 0 and graph.causal_tree(log, 6).count() == 0
-    assert {r["root_position"] for r in graph.causal_tree(log, 3).collect()} == {1}
+    assert graph.lineage_tree(log, 77).count() == 0 and graph.lineage_tree(log, 6).count() == 0
+    assert {r["root_position"] for r in graph.lineage_tree(log, 3).collect()} == {1}
 
 
 def test_empty_log(spark):
