@@ -169,37 +169,120 @@ def resolve(nodes: DataFrame, parts: int | None = None, base_rows: int = BASE_RO
     )
 
 
-def ancestors(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
-    """All (key, ancestor, distance) pairs, the closure of the trees; read by ``ancestor`` it lists all descendants.
+_EXPANDED = pa.schema(
+    [("key", pa.binary()), ("head", pa.binary()), ("above", pa.list_(pa.binary())), ("open", pa.bool_()), ("parent", pa.binary()),
+     ("seg", pa.list_(pa.binary())), ("ord", pa.int64())]
+)
+_EXPANDED_DDL = "key binary, head binary, above array<binary>, open boolean, parent binary, seg array<binary>, ord bigint"
+#: Path elements in one Arrow batch.
+_ELEMENTS = 200_000
 
-    Loops and what hangs below them have no finite closure and are left out. Distances double each round, so a tree of
-    depth d takes log2(d) joins; every pair is output once, which is the size the question itself asks for.
-    """
-    live = resolved.filter("not cyclic and depth > 0").select("key", "depth")
-    base = written(live.join(nodes.select("key", "parent"), "key").select("key", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("distance")), "pairs")
-    deepest = live.agg(F.max("depth")).first()[0] or 0
-    pairs, reach = base, 1
-    while reach < deepest:
-        # pairs holds every distance up to reach; add those from reach + 1 to 2 * reach
-        far = pairs.filter(F.col("distance") == reach).select("key", F.col("ancestor").alias("mid"))
-        more = far.join(pairs.select(F.col("key").alias("mid"), "ancestor", "distance"), "mid").select(
-            "key", "ancestor", (F.col("distance") + reach).alias("distance")
-        )
-        pairs, reach = written(pairs.unionByName(more), "pairs"), reach * 2
-    return pairs
-
-
-def paths(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
+
+def _expand_partition(batches):
+    """Per link (``key``, ``parent``, ``seg``: the nodes from its parent's side down to the key) the nodes ``above`` it as far
+    as its chain stays in the partition. Chains end at a head: open heads go on in another partition and have their
+    ``parent`` and ``seg`` set, and what hangs on them starts behind them; below the others ``above`` is whole. No loops."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches)
+    keys, segs, ords = t["key"].to_pylist(), t["seg"].to_pylist(), t["ord"].to_pylist()
+    parents = t["parent"].to_pylist()
+    at = {k: i for i, k in enumerate(keys)}
+    above: list = [None] * len(keys)
+    head = [0] * len(keys)
+    for i in range(len(keys)):
+        chain, x = [], i
+        while above[x] is None:
+            chain.append(x)
+            up = at.get(parents[x]) if parents[x] is not None else None
+            if up is None:
+                y = chain.pop()
+                head[y], above[y] = y, [] if parents[y] is not None else segs[y]
+                break
+            x = up
+        for y in reversed(chain):
+            up = at[parents[y]]
+            head[y], above[y] = head[up], above[up] + segs[y]
+    start, size = 0, 0
+    for i in range(len(keys)):
+        size += len(above[i]) + len(segs[i]) + 1
+        if size >= _ELEMENTS or i == len(keys) - 1:
+            of = range(start, i + 1)
+            ends = [head[j] == j and parents[j] is not None for j in of]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for f, c in zip(_EXPANDED, (
+                    keys[start : i + 1], [keys[head[j]] for j in of], above[start : i + 1], [parents[head[j]] is not None for j in of],
+                    [parents[j] if e else None for j, e in zip(of, ends)], [segs[j] if e else None for j, e in zip(of, ends)], ords[start : i + 1],
+                ))], schema=_EXPANDED,
+            )
+            start, size = i + 1, 0
+
+
+def _double_above(links: DataFrame) -> DataFrame:
+    """``key, above`` of links without any locality, by joins that halve all chains."""
+    now = written(links.select("key", "parent", "seg"), "steps")
+    while now.filter("parent is not null").limit(1).count():
+        to = now.select(F.col("key").alias("parent"), F.col("parent").alias("p2"), F.col("seg").alias("seg2"))
+        step = now.filter("parent is not null").join(to, "parent").select("key", F.col("p2").alias("parent"), F.concat("seg2", "seg").alias("seg"))
+        now = written(step.unionByName(now.filter("parent is null")), "steps")
+    return now.select("key", F.col("seg").alias("above"))
+
+
+def _above(links: DataFrame, parts: int, base_rows: int, level: int = 0) -> DataFrame:
+    """``key, above``: expand the paths inside each fragment, solve the quotient of the fragments in the same way, and put
+    the solved path of a fragment's head before the local paths of its nodes."""
+    placed = links.select("key", "parent", "seg", "ord")
+    placed = placed.repartition(1) if parts <= 1 else placed.repartitionByRange(parts, "ord", "key")
+    local = placed.mapInArrow(_expand_partition, _EXPANDED_DDL)
+    if parts <= 1:
+        return local.select("key", "above")
+    local = written(local, f"paths{level}")
+    to = local.select(F.col("key").alias("parent"), "head", "above", "open")
+    quotient = local.filter("parent is not null").select("key", "parent", "seg", "ord").join(to, "parent").select(
+        "key", F.when(F.col("open"), F.col("head")).alias("parent"), F.concat("above", "seg").alias("seg"), "ord"
+    )
+    quotient = written(quotient, f"steps{level}")
+    n = quotient.count()
+    if n == 0:
+        return local.select("key", "above")
+    if n <= base_rows:
+        solved = _above(quotient, 1, base_rows, level + 1)
+    elif n > local.count() / 2:
+        solved = _double_above(quotient)
+    else:
+        solved = _above(quotient, max(2, math.ceil(parts / 8)), base_rows, level + 1)
+    heads = solved.select(F.col("key").alias("head"), F.col("above").alias("before"))
+    reopened = local.filter("open").select("key", "head", "above").join(heads, "head").select("key", F.concat("before", "above").alias("above"))
+    return local.filter("not open").select("key", "above").unionByName(reopened)
+
+
+def paths(nodes: DataFrame, resolved: DataFrame, parts: int | None = None, base_rows: int = BASE_ROWS) -> DataFrame:
     """``key`` and ``path``, the array of keys from the root to the node; null on and below loops.
 
     A root's path is itself. The arrays of one node are as long as its depth.
     """
-    above = ancestors(nodes, resolved)
-    up = above.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("up"))
-    return resolved.select("key", "cyclic").join(up, "key", "left").select(
-        "key",
-        F.when(~F.col("cyclic"), F.concat(F.coalesce(F.col("up.ancestor"), F.array().cast("array<binary>")), F.array("key"))).alias("path"),
-    )
+    live = resolved.filter("not cyclic").select("key", "depth").join(nodes.filter("key is not null").select("key", "parent", "ord"), "key")
+    up = F.when(F.col("depth") > 0, F.col("parent"))
+    links = live.select("key", up.alias("parent"), F.when(up.isNotNull(), F.array("parent")).otherwise(F.array().cast("array<binary>")).alias("seg"), "ord")
+    found = _above(links, parts or partitions(nodes.sparkSession, 2), base_rows)
+    looped = resolved.filter("cyclic").select("key", F.lit(None).cast("array<binary>").alias("path"))
+    return found.select("key", F.concat("above", F.array("key")).alias("path")).unionByName(looped)
+
+
+def ancestors(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
+    """All (key, ancestor, distance) pairs, the closure of the trees; read by ``ancestor`` it lists all descendants.
+
+    Loops and what hangs below them have no finite closure and are left out. The pairs are read off the paths, without a
+    shuffle; every pair is output once, which is the size the question itself asks for.
+    """
+    return pairs(paths(nodes, resolved))
+
+
+def pairs(found: DataFrame) -> DataFrame:
+    """(key, ancestor, distance) of the ``paths`` result ``found``."""
+    at = found.filter("path is not null").select("key", F.size("path").alias("n"), F.posexplode("path").alias("i", "ancestor"))
+    return at.filter("i < n - 1").select("key", "ancestor", (F.col("n") - 1 - F.col("i")).cast("bigint").alias("distance"))
 
 
 def descendants(nodes: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.ids import id_key, id_text
 from loomlog.operators import drift, hierarchy, incremental, orphans, shred, skew
-from loomlog.session import table
+from loomlog.session import table, written
 from loomlog.sources.events import first_by_id
 
 #: p1_found: an event this many links or more below its root is a case.
@@ -32,6 +32,28 @@ def p1_trees(spark: SparkSession, d: str) -> DataFrame:
     return trees.select(id_text("top").alias("top_id"), "n_events", "max_depth")
 
 
+def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes = written(_nodes(spark, d), "nodes")
+    resolved = written(hierarchy.resolve(nodes), "resolved")
+    return resolved, hierarchy.paths(nodes, resolved)
+
+
+def p1_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every event's root, depth and path from the root; on and below loops the loop's smallest id, -1 and null."""
+    resolved, paths = _paths(spark, d)
+    looped = resolved.filter("cyclic").select("key", "top", "depth", F.lit(None).cast("array<binary>").alias("path"))
+    rooted = paths.filter("path is not null").select("key", F.element_at("path", 1).alias("top"), (F.size("path") - 1).cast("bigint").alias("depth"), "path")
+    return rooted.unionByName(looped).select(
+        id_text("key").alias("id"), id_text("top").alias("top_id"), "depth", F.transform("path", id_text).alias("path")
+    )
+
+
+def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every event's descendants, one row each, with the number of links between; events without any give no row."""
+    below = hierarchy.pairs(_paths(spark, d)[1])
+    return below.select(id_text("ancestor").alias("id"), id_text("key").alias("descendant_id"), "distance")
+
+
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "stored_events").select(
         id_key("correlation_id").alias("correlation"), F.encode("reactor_id", "UTF-8").alias("reactor"), "seq",
@@ -170,5 +192,5 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_trees, p2_found, p2_profiles, p3_found, p3_lines, p3_variants, p4_found, p4_report, p5_found, p6_found, p6_table)
+    for f in (p1_found, p1_trees, p1_paths, p1_descendants, p2_found, p2_profiles, p3_found, p3_lines, p3_variants, p4_found, p4_report, p5_found, p6_found, p6_table)
 }
