@@ -101,9 +101,12 @@ class ChangeFeed:
         return self.spark.read.parquet(f"{self.path}/sink")
 
     def positions(self, batch: int, now) -> DataFrame:
-        """The rows that promote the pointers after a committed batch (``updated_at`` = ``now``)."""
+        """The rows that promote the pointers after a committed batch. ``updated_at`` is the plan's own horizon (or ``now``,
+        should that be earlier; without a horizon the time promoted before): what became readable after the plan was
+        written is in no batch yet, and the next plan must find it after ``since``, however low its ``seq``. A horizon before
+        ``since`` promotes nothing, and the sink keeps the rows that are then captured again from a second delivery."""
         plan = self.spark.read.schema(PLAN).parquet(f"{self.path}/plans/{batch}")
         return plan.select(
             "pointer_name", "log_partition", F.greatest("active", "upto").alias("active"), F.lit(None).cast("bigint").alias("staged"),
-            F.lit(now).cast("timestamp_ntz").alias("updated_at"),
+            F.least(F.coalesce("horizon", "since"), F.lit(now).cast("timestamp_ntz")).alias("updated_at"),
         )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,6 +173,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("pointer_name", "seq")
 
 
+def p5_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What two runs deliver: the first is planned when the log is readable up to the middle of its times, the rest arrives
+    before its rows are read and its positions promoted; the second is planned on the whole log."""
+    feed = incremental.ChangeFeed(spark)
+    pointers, events = table(spark, d, "pointer_status"), table(spark, d, "stored_events")
+    t = F.unix_micros(F.col("ingested_at").cast("timestamp"))
+    low, high = events.agg(F.min(t), F.max(t)).first()
+    middle = F.lit(((low or 0) + (high or 0)) // 2)
+    feed.plan(0, pointers, events.filter(t.isNull() | (t <= middle)))
+    for batch in (0, 1):
+        feed.deliver(batch, feed.captured(batch, pointers, events))
+        pointers = pointers.select("pointer_name", "log_partition", "active", "staged", "updated_at").unionByName(feed.positions(batch, datetime.max))
+    return feed.sink().select("pointer_name", "seq")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(drift.observe(table(spark, d, "archive_lines")))
 
@@ -192,5 +209,5 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_trees, p1_paths, p1_descendants, p2_found, p2_profiles, p3_found, p3_lines, p3_variants, p4_found, p4_report, p5_found, p6_found, p6_table)
+    for f in (p1_found, p1_trees, p1_paths, p1_descendants, p2_found, p2_profiles, p3_found, p3_lines, p3_variants, p4_found, p4_report, p5_found, p5_runs, p6_found, p6_table)
 }
