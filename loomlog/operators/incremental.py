@@ -40,9 +40,10 @@ def changed(events: DataFrame) -> DataFrame:
 
 
 def capture(plan: DataFrame, events: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``pointer_name, key, seq, log_partition`` of all rows the plan's batch must process, each once."""
+    """``pointer_name, key, seq, log_partition`` of all rows the plan's batch must process, each once. A row without
+    ``ingested_at`` goes by its ``seq`` alone; a null horizon (no row of the partition has a time) bounds nothing."""
     rows = changed(events)
-    new = "(seq > active or ingested_at > since) and seq <= upto and ingested_at <= horizon"
+    new = "(seq > active or ingested_at > since) and seq <= upto and (ingested_at is null or horizon is null or ingested_at <= horizon)"
     sized = small(plan, bound)
     if sized is not plan:
         out = rows.join(sized, "log_partition")

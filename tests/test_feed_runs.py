@@ -1,5 +1,6 @@
 from datetime import timedelta
 
+import pytest
 from test_incremental import EVENTS, POINTERS, T, ev
 
 import __spark_entry__ as entry
@@ -25,3 +26,16 @@ def test_a_low_row_between_plan_and_promotion_comes_next(spark):
 def test_two_runs_deliver_what_one_would(spark):
     rows = lambda name: sorted((r["pointer_name"], r["seq"]) for r in entry.queries()[name](spark, DATA).collect())
     assert rows("p5_runs") == rows("p5_found") != []
+
+
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_rows_without_ingested_at(spark, bound):
+    pointers = spark.createDataFrame([("p", 0, 2, None, T), ("p", 1, 2, None, T)], POINTERS)
+    events = [ev(5, "e", "e"), (6, "f", "f", None, 0, ""), (1, "b", "b", None, 0, ""), (7, "g", "g", None, 1, ""), (2, "h", "h", None, 1, "")]
+    events = spark.createDataFrame(events, EVENTS)
+    feed = incremental.ChangeFeed(spark)
+    rows = incremental.capture(feed.plan(0, pointers, events), events, bound)
+    assert sorted(r["seq"] for r in rows.collect()) == [5, 6, 7]
+    feed.deliver(0, rows)
+    moved = pointers.unionByName(feed.positions(0, T + timedelta(hours=200)))
+    assert feed.captured(1, moved, events).count() == 0
