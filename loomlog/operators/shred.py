@@ -27,7 +27,7 @@ RECORD_FIELDS = {
 }
 ID_FIELDS = {own for _, own in RECORD_FIELDS.values()}
 
-SUPERTYPE = "source string, event_id string, aggregate_key string, kind string, variant string, record_id string, parent_record_id string, fields string"
+SUPERTYPE = "source string, event_id string, aggregate_key string, kind string, variant string, record_id string, parent_record_id string, fields string, types string, lists string"
 _SCHEMA = pa.schema([(c.split()[0], pa.string()) for c in SUPERTYPE.split(", ")])
 
 
@@ -131,11 +131,38 @@ def _text(v) -> str:
     return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
-def records(value, automaton: Automaton):
-    """(kind, variant, record id, parent record id, own scalar fields as JSON) of all records in ``value``, at any depth.
+def _type(v) -> str:
+    if isinstance(v, bool):
+        return "boolean"
+    if isinstance(v, int):
+        return "bigint" if -(2**63) <= v < 2**63 else "double" if abs(v) < 2**53 else "string"
+    return "void" if v is None else "double" if isinstance(v, float) else "string"
 
-    Walks with a stack of its own, so no nesting is too deep.
+
+def _flat(record: dict) -> tuple[dict, list]:
+    """The record's own scalars under dotted names, and the scalars in its lists as [dotted name, dotted positions, value].
+
+    Fields that hold records are left out at any depth, since their records have rows of their own. A name that is taken
+    already (names can have dots themselves) gets an apostrophe.
     """
+    flat, lists, stack = {}, [], [("", "", record)]
+    while stack:
+        name, at, v = stack.pop()
+        if isinstance(v, dict):
+            stack.extend((f"{name}.{k}" if name else k, at, x) for k, x in reversed(v.items()) if k not in RECORD_FIELDS)
+        elif isinstance(v, list):
+            stack.extend((name, f"{at}.{i}" if at else str(i), x) for i, x in reversed(list(enumerate(v))))
+        elif at:
+            lists.append([name, at, v])
+        else:
+            while name in flat:
+                name += "'"
+            flat[name] = v
+    return flat, lists
+
+
+def _records(value, automaton: Automaton):
+    """``records`` with the types of the scalars, and the scalars in lists (None for none), both as JSON."""
     stack = [(value, "")]
     while stack:
         v, around = stack.pop()
@@ -152,11 +179,23 @@ def records(value, automaton: Automaton):
                 kind, own = RECORD_FIELDS[k]
                 for record, key in _filed(x, k, own):
                     rid = _text(record[own]) if record.get(own) is not None else key
-                    flat = {f: y for f, y in record.items() if f not in RECORD_FIELDS and not isinstance(y, (dict, list))}
-                    yield kind, automaton.variant(record), rid, around, json.dumps(flat, ensure_ascii=False)
+                    flat, lists = _flat(record)
+                    types = json.dumps({f: _type(flat[f]) for f in sorted(flat)}, ensure_ascii=False)
+                    yield (
+                        kind, automaton.variant(record), rid, around, json.dumps(flat, ensure_ascii=False), types,
+                        json.dumps(lists, ensure_ascii=False) if lists else None,
+                    )
                     stack.append((record, rid))
 
 
+def records(value, automaton: Automaton):
+    """(kind, variant, record id, parent record id, own scalar fields as JSON) of all records in ``value``, at any depth.
+
+    Walks with a stack of its own, so no nesting is too deep.
+    """
+    return (r[:5] for r in _records(value, automaton))
+
+
 def _shredder(source: str, per_key: bool):
     def run(batches):
         automaton = Automaton()
@@ -171,7 +210,7 @@ def _shredder(source: str, per_key: bool):
                 for key, part in parts:
                     # a record field at the top of the snapshots is not an aggregate; its records have its name as key
                     held = {key: part} if per_key and key in RECORD_FIELDS else part
-                    out.extend((source, event, key, *r) for r in records(held, automaton))
+                    out.extend((source, event, key, *r) for r in _records(held, automaton))
             for i in range(0, len(out), 10_000):
                 rows = out[i : i + 10_000]
                 yield pa.RecordBatch.from_arrays([texts(c) for c in zip(*rows)], schema=_SCHEMA)
@@ -193,21 +232,61 @@ def shred(texts: DataFrame, source: str, per_key: bool) -> DataFrame:
     return texts.select("event_id", "text").mapInArrow(_shredder(source, per_key), SUPERTYPE)
 
 
-#: The typed columns of the subtype tables.
+#: Typed columns that the subtype tables have even where no record does.
 SUBTYPES = {
     "shipment": "carrier string",
     "line": "sku string, qty bigint, note string",
     "adjustment": "code string, cents bigint",
 }
+_LINK = ["source", "event_id", "aggregate_key", "variant", "record_id", "parent_record_id"]
+
+
+def _common(a: str, b: str) -> str:
+    """The type that holds the values of both."""
+    if a == b or b == "void":
+        return a
+    return b if a == "void" else "double" if {a, b} == {"bigint", "double"} else "string"
 
 
-def subtype(supertype: DataFrame, kind: str) -> DataFrame:
-    """The flat typed table of one kind: its records of all variants, keys and parent link kept; a field that a variant
-    lacks, or that does not fit the column's type, is null."""
-    typed = F.from_json("fields", SUBTYPES[kind])
-    return supertype.filter(F.col("kind") == kind).select(
-        "source", "event_id", "aggregate_key", "variant", "record_id", "parent_record_id", typed.alias("t")
-    ).select("source", "event_id", "aggregate_key", "variant", "record_id", "parent_record_id", "t.*")
+def columns(supertype: DataFrame, kind: str, variant: str | None = None) -> dict[str, str]:
+    """Field to type over all records of a kind, or of one of its variants, besides the kind's own id."""
+    rows = supertype.filter(F.col("kind") == kind)
+    rows = rows if variant is None else rows.filter(F.col("variant") == variant)
+    out: dict[str, str] = {} if variant else dict(c.split() for c in SUBTYPES[kind].split(", "))
+    for r in rows.select("types").distinct().collect():  # one per structure
+        for f, t in json.loads(r["types"]).items():
+            out[f] = _common(out.get(f, "void"), t)
+    own = {own for k, own in RECORD_FIELDS.values() if k == kind}
+    return {f: "string" if t == "void" else t for f, t in out.items() if f not in own}
+
+
+def subtype(supertype: DataFrame, kind: str, variant: str | None = None) -> DataFrame:
+    """The flat typed table of one kind and variant, its columns derived from the variant's records; without ``variant`` the
+    union of the kind's variants, a column having the type that holds all its values. Keys and parent link are kept; a
+    field that a record lacks is null; objects are dotted columns, lists are in ``lists``.
+
+    Reads ``supertype`` twice, so it should be written. A name that differs from an earlier one by case only, or is that of
+    a key, ends in underscores.
+    """
+    rows = supertype.filter(F.col("kind") == kind)
+    rows = rows if variant is None else rows.filter(F.col("variant") == variant)
+    found = columns(supertype, kind, variant)
+    first = [c.split()[0] for c in SUBTYPES[kind].split(", ")]
+    taken, typed = {*_LINK, "t"}, []
+    for f in sorted(found, key=lambda f: (f not in first, first.index(f) if f in first else 0, f)):
+        name = f
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        typed.append(F.element_at("t", F.lit(f)).try_cast(found[f]).alias(name))
+    return rows.select(*_LINK, F.from_json("fields", "map<string,string>").alias("t")).select(*_LINK, *typed)
+
+
+def lists(supertype: DataFrame) -> DataFrame:
+    """The child table of all kinds: one row per scalar in a record's lists, with its dotted name and positions (from 0)."""
+    of = ["source", "event_id", "aggregate_key", "kind", "record_id"]
+    held = supertype.filter("lists is not null").select(*of, F.explode(F.from_json("lists", "array<array<string>>")).alias("x"))
+    return held.select(*of, F.col("x")[0].alias("field"), F.col("x")[1].alias("position"), F.col("x")[2].alias("value"))
 
 
 def variants(supertype: DataFrame) -> DataFrame:

@@ -113,8 +113,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_records(spark, d).select("source", "event_id", "aggregate_key", "kind", "record_id", "parent_record_id")
 
 
+def _subtype(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return shred.subtype(written(p3_records(spark, d).filter(F.col("kind") == kind), "records"), kind)
+
+
+def p3_shipments(spark: SparkSession, d: str) -> DataFrame:
+    return _subtype(spark, d, "shipment")
+
+
 def p3_lines(spark: SparkSession, d: str) -> DataFrame:
-    return shred.subtype(p3_records(spark, d), "line")
+    return _subtype(spark, d, "line")
+
+
+def p3_adjustments(spark: SparkSession, d: str) -> DataFrame:
+    return _subtype(spark, d, "adjustment")
+
+
+def p3_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The values in the records' lists."""
+    return shred.lists(p3_records(spark, d))
 
 
 def p3_variants(spark: SparkSession, d: str) -> DataFrame:
@@ -209,5 +226,5 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_trees, p1_paths, p1_descendants, p2_found, p2_profiles, p3_found, p3_lines, p3_variants, p4_found, p4_report, p5_found, p5_runs, p6_found, p6_table)
+    for f in (p1_found, p1_trees, p1_paths, p1_descendants, p2_found, p2_profiles, p3_found, p3_shipments, p3_lines, p3_adjustments, p3_lists, p3_variants, p4_found, p4_report, p5_found, p5_runs, p6_found, p6_table)
 }
