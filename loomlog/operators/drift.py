@@ -11,6 +11,7 @@ by its dotted path; a list is one field.
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -153,24 +154,108 @@ def _greedy(pairs: str):
     )
 
 
+#: Texts that spell a number or a truth value.
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+_TRUTH = {"true": True, "yes": True, "false": False, "no": False}
+#: Kinds of typed columns. For ``target`` a list of one scalar is that scalar (``single``); where a field has other lists too, all its values are lists.
+_ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
+def _string(v) -> str:
+    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+
+def _single(v):
+    """A list of one scalar is that scalar."""
+    return v[0] if isinstance(v, list) and len(v) == 1 and v[0] is not None and not isinstance(v[0], (dict, list)) else v
+
+
 def _cast(v, to: str):
     """``v`` as the target type, or raise ValueError where it does not fit."""
     if v is None:
         return None
+    if to == "array<string>":
+        return [None if x is None else _string(x) for x in (v if isinstance(v, list) else [v])]
     if to == "string":
-        return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+        return _string(v)
     if to == "boolean":
         if isinstance(v, bool):
             return v
+        if isinstance(v, str) and v.lower() in _TRUTH:
+            return _TRUTH[v.lower()]
+        if isinstance(v, (int, float)) and v in (0, 1):
+            return bool(v)
         raise ValueError
-    if isinstance(v, bool) or isinstance(v, (list, dict)):
+    if isinstance(v, (bool, dict, list)) or isinstance(v, str) and not _NUMBER.fullmatch(v) or isinstance(v, int) and abs(v) > 2**53:
         raise ValueError
     return float(v)
 
 
-def _ingester(columns: dict[str, str], renames: dict[str, str]):
-    kinds = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+def _form(v) -> str:
+    v = _single(v)
+    if isinstance(v, list):
+        return "many"
+    if isinstance(v, str):
+        return "truth text" if v.lower() in _TRUTH else "number text" if _NUMBER.fullmatch(v) else "text"
+    return "null" if v is None else "boolean" if isinstance(v, bool) else "text" if isinstance(v, int) and abs(v) > 2**53 else "number"
+
+
+def _forms(batches):
+    for b in batches:
+        seen: dict = {}
+        for text in b.column(0).to_pylist():
+            for path, x in leaves(json_object(text) or {}):
+                at = (path, _form(x))
+                seen[at] = seen.get(at, 0) + 1
+        if seen:
+            yield pa.RecordBatch.from_arrays([texts([p for p, _ in seen]), pa.array([f for _, f in seen]), pa.array(list(seen.values()), pa.int64())], names=["path", "form", "n"])
 
+
+def target(lines: DataFrame, renamed: list[tuple[str, str]], known: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """The columns of the one table for all fields of ``lines``, and the renames to them, for ``ingest`` and ``promote_all``.
+
+    Names that a pair of ``renamed`` links, directly or over others, or that differ by case only, are one field. It has
+    the name that ``known`` (name to kind) has, else the most frequent one (ties: by name). Its kind is that of ``known``, else
+    the narrowest that holds all values; where lists of other than one scalar occur, a list of texts.
+    """
+    forms: dict[str, dict[str, int]] = {}
+    for r in lines.select("payload").mapInArrow(_forms, "path string, form string, n bigint").groupBy("path", "form").agg(F.sum("n").alias("n")).collect():
+        forms.setdefault(r["path"], {})[r["form"]] = r["n"]  # one row per name and form
+    up: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    same: dict[str, str] = {}
+    for name in sorted({*forms, *known, *(x for pair in renamed for x in pair)}):
+        up[find(name)] = find(same.setdefault(_column(name).lower(), name))
+    for old, new in renamed:
+        up[find(old)] = find(new)
+    fields: dict[str, list[str]] = {}
+    for name in sorted(up):
+        fields.setdefault(find(name), []).append(name)
+    columns, renames = {}, {}
+    for names in fields.values():
+        best = min(names, key=lambda x: (x not in known, -sum(forms.get(x, {}).values()), x))
+        have = {f for x in names for f in forms.get(x, ())} - {"null"}
+        if "many" in have:
+            kind = "array<string>"
+        elif best in known:
+            kind = known[best]
+        elif "number" in have and have <= {"number", "number text"}:
+            kind = "double"
+        elif "boolean" in have and have <= {"boolean", "truth text"}:
+            kind = "boolean"
+        else:
+            kind = "string"
+        columns[best] = kind
+        renames.update({x: best for x in names if x != best})
+    return columns, renames
+
+
+def _ingester(columns: dict[str, str], renames: dict[str, str], single: bool):
     def run(batches):
         for b in batches:
             payloads = b.column("payload").to_pylist()
@@ -188,7 +273,7 @@ def _ingester(columns: dict[str, str], renames: dict[str, str]):
                     to = renames.get(path, path)
                     if to in columns and row.get(to) is None:
                         try:
-                            row[to] = _cast(x, columns[to])
+                            row[to] = _cast(_single(x) if single and columns[to] != "array<string>" else x, columns[to])
                             continue
                         except ValueError:
                             pass
@@ -198,52 +283,69 @@ def _ingester(columns: dict[str, str], renames: dict[str, str]):
                 rescued.append(json.dumps(left, ensure_ascii=False) if left else None)
             keep = [b.column(c) for c in b.schema.names if c != "payload"]
             names = [c for c in b.schema.names if c != "payload"]
-            made = [pa.array(out[c], kinds[k]) for c, k in columns.items()] + [texts(rescued)]
+            made = [_array(out[c], k) for c, k in columns.items()] + [texts(rescued)]
             yield pa.RecordBatch.from_arrays(keep + made, names=[*names, *(_column(c) for c in columns), "_rescued"])
 
     return run
 
 
+def _array(values: list, kind: str) -> pa.Array:
+    try:
+        return pa.array(values, _ARROW[kind])
+    except UnicodeEncodeError:
+        return texts(values) if kind == "string" else pa.array([x and [t and t.encode("utf-8", "replace").decode() for t in x] for x in values], _ARROW[kind])
+
+
 def _column(path: str) -> str:
     return "f_" + path.replace(".", "__")
 
 
-def ingest(lines: DataFrame, columns: dict[str, str], renames: dict[str, str] | None = None) -> DataFrame:
+def ingest(lines: DataFrame, columns: dict[str, str], renames: dict[str, str] | None = None, single: bool = False) -> DataFrame:
     """``lines`` with ``payload`` read into one typed column per entry of ``columns`` (dotted path to string, double or
     boolean) and ``_rescued``: the JSON of all fields that are unknown or do not fit, null when nothing was left over.
-    ``renames`` maps older paths to the target's. A payload that is no JSON object is rescued whole under ``_raw``."""
+    ``renames`` maps older paths to the target's. A payload that is no JSON object is rescued whole under ``_raw``.
+    ``single``: a list of one scalar is read as that scalar."""
     keep = [c for c in lines.columns if c != "payload"]
     types = dict(lines.dtypes)
     ddl = ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"`{_column(c)}` {k}" for c, k in columns.items()), "_rescued string"])
-    return lines.select(*keep, "payload").mapInArrow(_ingester(columns, renames or {}), ddl)
+    return lines.select(*keep, "payload").mapInArrow(_ingester(columns, renames or {}, single), ddl)
 
 
-def _replay(path: str, kind: str):
-    arrow = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[kind]
-
+def _replay(columns: dict[str, str], renames: dict[str, str], single: bool):
     def run(batches):
         for b in batches:
-            made, left = [], []
+            made: dict = {c: [] for c in columns}
+            left = []
             for text in b.column("_rescued").to_pylist():
-                value, rest = None, parse(text) if text is not None else None
-                if rest and path in rest:
-                    try:
-                        value = _cast(rest[path], kind)
-                        del rest[path]
-                    except ValueError:
-                        pass
-                made.append(value)
+                row, rest = {}, {}
+                for path, x in (parse(text) or {} if text is not None else {}).items():
+                    to = renames.get(path, path)
+                    if to in columns and row.get(to) is None:
+                        try:
+                            row[to] = _cast(_single(x) if single and columns[to] != "array<string>" else x, columns[to])
+                            continue
+                        except ValueError:
+                            pass
+                    rest[path] = x
+                for c in columns:
+                    made[c].append(row.get(c))
                 left.append(json.dumps(rest, ensure_ascii=False).encode("utf-8", "replace").decode() if rest else None)
             keep = [c for c in b.schema.names if c != "_rescued"]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in keep), pa.array(made, arrow), pa.array(left, pa.string())], names=[*keep, _column(path), "_rescued"]
+                [*(b.column(c) for c in keep), *(_array(made[c], k) for c, k in columns.items()), pa.array(left, pa.string())],
+                names=[*keep, *(_column(c) for c in columns), "_rescued"],
             )
 
     return run
 
 
-def promote(ingested: DataFrame, path: str, kind: str) -> DataFrame:
-    """Approve one rescued field: a typed column (string, double or boolean) filled by replaying the rescued values, which
-    leave the rescue column; what does not fit stays there."""
+def promote_all(ingested: DataFrame, columns: dict[str, str], renames: dict[str, str] | None = None, single: bool = False) -> DataFrame:
+    """Approve rescued fields (dotted path to kind): typed columns filled by one replay of the rescued values, which leave
+    the rescue column; what does not fit stays there. ``renames`` and ``single`` as in ``ingest``."""
     keep = [f"`{c}` {t}" for c, t in ingested.dtypes if c != "_rescued"]
-    return ingested.mapInArrow(_replay(path, kind), ", ".join([*keep, f"`{_column(path)}` {kind}", "_rescued string"]))
+    return ingested.mapInArrow(_replay(columns, renames or {}, single), ", ".join([*keep, *(f"`{_column(c)}` {k}" for c, k in columns.items()), "_rescued string"]))
+
+
+def promote(ingested: DataFrame, path: str, kind: str) -> DataFrame:
+    """``promote_all`` of one field."""
+    return promote_all(ingested, {path: kind})

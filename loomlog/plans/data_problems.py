@@ -209,7 +209,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(drift.observe(table(spark, d, "archive_lines")))
 
 
-#: p6_table: the consistent table's columns, and older or other names of the same fields.
+#: p6_table: columns approved from the start, and other names known of them; all other fields are found in the data.
 TARGET = {"qty": "double", "amount": "double", "city": "string", "channel": "string", "order_ref": "string", "active": "boolean"}
 RENAMES = {
     "quantity": "qty", "units": "qty", "amount_minor": "amount", "total": "amount", "address.city": "city", "town": "city",
@@ -219,9 +219,18 @@ RENAMES = {
 
 
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
-    """All archive lines as one table: typed target columns and the rescued rest."""
-    lines = table(spark, d, "archive_lines").select("line_no", "producer", "segment_no", "event_type", "payload")
-    return drift.ingest(lines, TARGET, RENAMES)
+    """All archive lines as one table: every field one typed column, whatever its names; what does not fit its column's type
+    is in the rescued rest. Names come together by the reported renames and those of the upcasters."""
+    archive = table(spark, d, "archive_lines")
+    found = p6_found(spark, d).filter("change = 'renamed'").select("old_field", "field")
+    step = F.from_json("transform", "op string, `from` string, `to` string").alias("s")
+    told = table(spark, d, "upcasters").select(step).filter("s.op = 'rename' and s.`from` is not null and s.`to` is not null").select("s.from", "s.to")
+    pairs = sorted((r[0], r[1]) for r in found.union(told).distinct().collect())
+    columns, renames = drift.target(archive, [*RENAMES.items(), *pairs], TARGET)
+    lines = archive.select("line_no", "producer", "segment_no", "event_type", "payload")
+    approved = {c: k for c, k in columns.items() if c in TARGET}
+    rest = {c: k for c, k in columns.items() if c not in approved}
+    return drift.promote_all(drift.ingest(lines, approved, renames, single=True), rest, renames, single=True)
 
 
 QUERIES = {
