@@ -141,7 +141,7 @@ def append_idempotent(s, d):
 
 @query
 def append_conflicts(s, d):
-    """Optimistic appends that expect version 5: those whose stream stands there."""
+    """Optimistic appends that expect version 3 at a fixed position: those whose stream stands there."""
     log = events_log(s, d)
     streams = log.select("aggregate_type", "aggregate_id").distinct()
     upto = log.filter(F.col("position") <= AT)
@@ -149,6 +149,30 @@ def append_conflicts(s, d):
     return ok.select("aggregate_id", "event_type")
 
 
+def _half(log: DataFrame) -> int:
+    return L.latest_position(log).first()["position"] // 2
+
+
+@query
+def append_idempotent_half(s, d):
+    """The first half of the log, and a delivery of its last three quarters with every row twice: the rows that are appended."""
+    log = events_log(s, d)
+    half = _half(log)
+    new = log.filter(F.col("position") > half // 2).select("event_id", "event_type", "aggregate_type", "aggregate_id", "created_at")
+    return L.append(log.filter(F.col("position") <= half), new.unionByName(new), "event_id").select("position", "event_id", "aggregate_id", "version")
+
+
+@query
+def append_conflicts_whole(s, d):
+    """Optimistic appends to every stream by writers that had read the first half of the log, against the versions that the
+    whole log stands at now: those whose stream has not moved since."""
+    log = events_log(s, d)
+    seen = F.max(F.when(F.col("position") <= _half(log), F.col("version")))
+    expected = log.groupBy("aggregate_type", "aggregate_id").agg(F.coalesce(seen, F.lit(0)).alias("expected_version"))
+    new = expected.select("aggregate_type", "aggregate_id", F.lit("activity:view").alias("event_type"))
+    return L.append_expected(log, new, expected).select("aggregate_id", "event_type")
+
+
 def _user_states(s, d) -> DataFrame:
     return _user().running(_persistent(s, d), keep=["aggregate_type", "aggregate_id", "position", "event_id", "version", "created_at", "correlation_id"])
 
