@@ -80,19 +80,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_profiles(spark: SparkSession, d: str) -> DataFrame:
-    """Per correlation and per reactor: rows, first and last event, longest pause, and the outcomes recorded for it."""
+    """Per correlation and per reactor: rows, first and last event, longest pause, and the outcomes recorded for it;
+    keys with outcomes only have no rows (0) and no events."""
     outcomes = table(spark, d, "reactor_outcomes").dropDuplicates(["outcome_no"]).select(
         F.explode(F.array(
             F.struct(F.lit("correlation_id").alias("field"), id_key("correlation_id").alias("key")),
             F.struct(F.lit("reactor_id").alias("field"), F.encode("reactor_id", "UTF-8").alias("key")),
         )).alias("p"), "status",
-    ).groupBy("p.field", "p.key").agg(
+    ).filter("p.key is not null").groupBy("p.field", "p.key").agg(
         F.count("*").alias("n_outcomes"), F.count_if(F.col("status") == "error").alias("n_errors")
     )
-    p = skew.profile(_keyed(spark, d)).join(outcomes, ["field", "key"], "left")
+    p = skew.profile(_keyed(spark, d)).join(outcomes, ["field", "key"], "full_outer")
     zero = F.lit(0)
     return p.select(
-        "field", _key_value().alias("key_value"), "n", "first_seq", "last_seq", F.col("max_step").alias("longest_pause_us"),
+        "field", _key_value().alias("key_value"), F.coalesce("n", zero).cast("bigint").alias("n"), "first_seq", "last_seq",
+        F.coalesce("max_step", zero).cast("bigint").alias("longest_pause_us"),
         F.coalesce("n_outcomes", zero).cast("bigint").alias("n_outcomes"), F.coalesce("n_errors", zero).cast("bigint").alias("n_errors"),
     )
 
