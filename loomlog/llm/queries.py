@@ -14,12 +14,13 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Exact and re-parameterised leaks with the number of matching windows."""
+    """Exact and re-parameterised leaks of passages and questions, with the number of matching windows."""
     return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_leaks(spark, d).filter("kind = 'exact'").select("doc_id", "item_id")
+    leaks = leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), fields=("passage",))
+    return leaks.filter("kind = 'exact'").select("doc_id", "item_id")
 
 
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:

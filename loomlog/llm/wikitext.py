@@ -163,10 +163,11 @@ def _fold(ch: str) -> str:
 
 
 @functools.lru_cache(maxsize=1)
-def tables() -> tuple[np.ndarray, np.ndarray, dict[int, str], re.Pattern]:
-    """(folded code point or 0, word class, longer foldings, a pattern of the characters that have one)."""
+def tables() -> tuple[np.ndarray, np.ndarray, dict[int, str], re.Pattern, np.ndarray]:
+    """(folded code point or 0, word class, longer foldings, a pattern of the characters that have one, is it a capital)."""
     fold = np.arange(sys.maxunicode + 1, dtype=np.uint32)
     kind = np.zeros(sys.maxunicode + 1, np.uint8)
+    upper = np.zeros(sys.maxunicode + 1, bool)
     longer: dict[int, str] = {}
     for cp in range(sys.maxunicode + 1):
         if 0xAC00 <= cp <= 0xD7A3:  # Hangul syllables stay whole
@@ -187,15 +188,16 @@ def tables() -> tuple[np.ndarray, np.ndarray, dict[int, str], re.Pattern]:
             longer[cp] = s
         if c[0] == "L":
             kind[cp] = WORD
+            upper[cp] = c in ("Lu", "Lt")
         elif c[0] == "N":
             kind[cp] = DIGIT
     pattern = re.compile("[" + "".join(re.escape(chr(c)) for c in longer) + "]")
-    return fold, kind, longer, pattern
+    return fold, kind, longer, pattern, upper
 
 
 def expand(text: str) -> str:
     """``text`` with the characters that fold to several replaced by those."""
-    _, _, longer, pattern = tables()
+    _, _, longer, pattern, _ = tables()
     if text.isascii() or not pattern.search(text):
         return text
     return pattern.sub(lambda m: longer[ord(m[0])], text)
@@ -203,10 +205,18 @@ def expand(text: str) -> str:
 
 def folded(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Folded code points, without deleted ones, and the class of each (0: no word character)."""
-    fold, kind, _, _ = tables()
-    cps = fold[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    cps = cps[cps != 0]
-    return cps, kind[cps]
+    return folded_cased(text)[:2]
+
+
+def folded_cased(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``folded``, and whether each code point was a capital before."""
+    fold, kind, _, _, upper = tables()
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    cps = fold[raw]
+    if (keep := cps != 0).all():
+        return cps, kind[cps], upper[raw]
+    cps = cps[keep]
+    return cps, kind[cps], upper[raw[keep]]
 
 
 def words(text: str) -> list[str]:
