@@ -29,7 +29,8 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = split.split_documents(table(spark, d, "documents"), oversized_only=True, with_text=False)
+    """A document is oversized if it has a second piece."""
+    pieces = split.split_documents(table(spark, d, "documents"), oversized_only=True, with_text=False, first=2)
     return pieces.filter(F.col("piece_no") == 1).select("doc_id")
 
 
