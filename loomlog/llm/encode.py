@@ -150,41 +150,47 @@ def _encoder(path: str | None):
 
     def run(batches):
         """Rows sorted by chunk, those with the chunk's text first: encode it once, answer all blocks that need it."""
-        e = tokens.encoding(path)
+        e, kind = tokens.encoding(path), tokens.id_type(path)
         last, ids = None, b""
         for b in batches:
             out = []
             for h, text in zip(b.column("h").to_pylist(), b.column("text").to_pylist()):
                 if h != last:
-                    last, ids = h, np.array(e.encode_ordinary(text), np.uint16).tobytes()
+                    last, ids = h, np.array(e.encode_ordinary(text), kind).tobytes()
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("h"), pa.array(out, pa.binary())], schema=schema)
 
     return run
 
 
-def _trim(ids: np.ndarray, n_bytes: int, width: np.ndarray, from_end: bool) -> np.ndarray:
-    """``ids`` without the tokens that cover the last (or first) ``n_bytes`` bytes; these end at a token boundary."""
+def _trim(ids: np.ndarray, n_bytes: int, width: np.ndarray, from_end: bool) -> np.ndarray | None:
+    """``ids`` without the tokens that cover the last (or first) ``n_bytes`` bytes; None where no token ends there."""
     lengths = np.cumsum(width[ids[::-1] if from_end else ids])
     k = int(np.searchsorted(lengths, n_bytes)) + 1 if n_bytes else 0
-    if n_bytes and lengths[k - 1] != n_bytes:
-        raise ValueError("no token boundary at a safe cut")
+    if n_bytes and (k > len(lengths) or lengths[k - 1] != n_bytes):
+        return None
     return ids[: len(ids) - k] if from_end else ids[k:]
 
 
 def join_chunks(parts: list[np.ndarray], repairs, path: str | None) -> list[np.ndarray]:
-    """The chunks' encodings with their joins repaired."""
+    """The chunks' encodings with their joins repaired. Where the encodings do not agree around a repair, it is widened to
+    the whole text, which the chunks' tokens spell."""
     if not repairs:
         return parts
-    e, width = tokens.encoding(path), tokens.token_bytes(path)
-    parts = list(parts)
+    e, width, kind = tokens.encoding(path), tokens.token_bytes(path), tokens.id_type(path)
+    encode = lambda text: np.array(e.encode_ordinary(text), kind)
+    whole, parts = parts, list(parts)
     for r in repairs:
         first, last = r["first"], r["last"]
-        fixed = np.array(e.encode_ordinary(r["text"]), np.uint16)
-        parts[first] = np.concatenate([_trim(parts[first], r["left"], width, True), fixed])
-        for i in range(first + 1, last):
-            parts[i] = parts[i][:0]
-        parts[last] = _trim(parts[last], r["right"], width, False)
+        left, right = _trim(parts[first], r["left"], width, True), None
+        if left is not None:
+            parts[first] = np.concatenate([left, encode(r["text"])])
+            for i in range(first + 1, last):
+                parts[i] = parts[i][:0]
+            right = _trim(parts[last], r["right"], width, False)
+        if right is None:
+            return [encode(b"".join(e.decode_bytes(p.tolist()) for p in whole).decode("utf-8", "surrogatepass"))]
+        parts[last] = right
     return parts
 
 
@@ -192,7 +198,8 @@ def _assembler(path: str | None):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(docs: pa.Table, encoded: pa.Table) -> pa.Table:
-        known = {h: np.frombuffer(i, np.uint16) for h, i in zip(encoded["h"].to_pylist(), encoded["ids"].to_pylist())}
+        kind = tokens.id_type(path)
+        known = {h: np.frombuffer(i, kind) for h, i in zip(encoded["h"].to_pylist(), encoded["ids"].to_pylist())}
         pieces, lengths = [], []
         for refs, repairs in zip(docs["refs"].to_pylist(), docs["repairs"].to_pylist()):
             parts = join_chunks([known[refs[i : i + 16]] for i in range(0, len(refs), 16)], repairs, path)
@@ -211,6 +218,7 @@ def encode_corpus(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     ``path``: the tokenizer's rank file. Repeated and null ids keep their rows; an empty table gives an empty result.
     """
+    tokens.ship(documents.sparkSession, path)
     docs = written(documents.select("doc_id", "text").mapInArrow(_chunk, _DOC_DDL), "chunks")
     news = docs.select("block", F.explode("news").alias("c")).select("block", "c.h", "c.text")
     placed = news.repartition("h").sortWithinPartitions("h", F.col("text").isNull())

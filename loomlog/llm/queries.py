@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import encode, leak, split
+from loomlog.llm import encode, leak, split, tokens
 from loomlog.session import table
 
 
@@ -13,6 +13,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
 
+def p7_ids_multi(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the public tokenizer for many languages."""
+    return encode.encode_corpus(table(spark, d, "documents"), tokens.ranks("byte_bpe_multi_50k"))
+
+
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Exact and re-parameterised leaks of passages and questions, with the number of matching windows."""
     return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -34,5 +39,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.filter(F.col("piece_no") == 1).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p7_ids, p7_ids_multi, p8_found, p8_leaks, p9_found, p9_pieces)}
 ORACLES: dict[str, str] = {}

@@ -16,8 +16,27 @@ DEFAULT_DIR = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def ranks(name: str) -> str:
+    return os.path.join(DEFAULT_DIR, f"{name}.tiktoken")
+
+
 def default_ranks() -> str:
-    return os.path.join(DEFAULT_DIR, "byte_bpe_50k.tiktoken")
+    return ranks("byte_bpe_50k")
+
+
+def ship(spark, path: str | None = None) -> None:
+    """Send the rank file to all executors, so that only the driver's machine needs it."""
+    path = path or default_ranks()
+    if os.path.exists(path) and not spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.addFile(path)  # the same file again is no work
+
+
+def _open(path: str):
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
+    return open(path, "rb")
 
 
 @functools.lru_cache(maxsize=2)
@@ -25,7 +44,7 @@ def encoding(path: str | None = None):
     """The encoder of a rank file, once per worker. Texts that look like special tokens are ordinary text."""
     import tiktoken
 
-    with open(path or default_ranks(), "rb") as f:
+    with _open(path or default_ranks()) as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -43,6 +62,12 @@ def token_bytes(path: str | None = None) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=2)
+def id_type(path: str | None = None) -> type:
+    """The narrowest type that holds all ids."""
+    return np.uint16 if encoding(path).max_token_value < 1 << 16 else np.uint32
+
+
 LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
 
 
