@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.operators import hierarchy
 from loomlog.session import written
 
+_SIGN = -(1 << 63)
+
 
 def correlation_of(log: DataFrame, position: int) -> DataFrame:
     return log.filter((F.col("position") == position) & F.col("correlation_id").isNotNull()).select("correlation_id").limit(1)
@@ -38,31 +40,37 @@ def roots(log: DataFrame) -> DataFrame:
     return log.filter("parent_id is null").unionByName(orphans.select(log.columns))
 
 
+def _ordered_key(c: str) -> Column:
+    """A bigint as 8 bytes that order as the numbers do."""
+    return F.unhex(F.lpad(F.hex(F.col(c).cast("bigint").bitwiseXOR(F.lit(_SIGN))), 16, "0"))
+
+
+def _number(key: str) -> Column:
+    return F.conv(F.hex(key), 16, -10).cast("bigint").bitwiseXOR(F.lit(_SIGN))
+
+
+def _resolved(log: DataFrame, parent: Column) -> DataFrame:
+    nodes = log.select(_ordered_key("event_id").alias("key"), parent.alias("parent"), F.col("position").alias("ord"))
+    return hierarchy.resolve(nodes).select(_number("key").alias("event_id"), _number("top").alias("root_id"), "depth")
+
+
 def depths(log: DataFrame) -> DataFrame:
-    """``event_id``, ``root_id`` and ``depth`` (hops) of every event, by contraction (see ``hierarchy``)."""
-    key = lambda c: F.encode(F.col(c).cast("string"), "UTF-8")
-    nodes = log.select(key("event_id").alias("key"), key("parent_id").alias("parent"), F.col("position").alias("ord"))
-    return hierarchy.resolve(nodes).select(
-        F.decode("key", "UTF-8").cast("bigint").alias("event_id"), F.decode("top", "UTF-8").cast("bigint").alias("root_id"), "depth"
-    )
+    """``event_id``, ``root_id`` and ``depth`` (hops) of every event, by contraction (see ``hierarchy``). On a loop, and below
+    one, the root is the loop's smallest id and the depth -1."""
+    return _resolved(log, _ordered_key("parent_id"))
 
 
-def subtree(log: DataFrame, position: int, max_depth: int = 10_000) -> DataFrame:
-    """The event at a position and all its descendants with their level, breadth first inside its correlation.
+def subtree(log: DataFrame, position: int) -> DataFrame:
+    """The event at a position and all its descendants in its correlation, each with its level, however deep.
 
-    Cycle-safe: an event is reached once.
+    The event's own parent link is cut, so it is the root of its subtree, also where it stands on a loop; one contraction
+    then gives every level. An unknown position gives no rows.
     """
-    tree = written(log.join(F.broadcast(correlation_of(log, position)), "correlation_id", "left_semi").select("event_id", "parent_id", "position", "event_type"), "tree")
-    found = tree.filter(F.col("position") == position).withColumn("level", F.lit(0))
-    frontier, level = found.select("event_id"), 0
-    while level < max_depth:
-        level += 1
-        new = tree.join(frontier.select(F.col("event_id").alias("parent_id")), "parent_id").join(found.select("event_id"), "event_id", "left_anti")
-        new = written(new.select("event_id", "parent_id", "position", "event_type", F.lit(level).alias("level")), "level")
-        if new.limit(1).count() == 0:
-            break
-        found, frontier = found.unionByName(new), new.select("event_id")
-    return found
+    tree = log.join(F.broadcast(correlation_of(log, position)), "correlation_id", "left_semi")
+    tree = written(tree.select("event_id", "parent_id", "position", "event_type"), "tree")
+    top = tree.filter(F.col("position") == position).select(F.col("event_id").alias("root_id"))
+    below = _resolved(tree, F.when(F.col("position") != position, _ordered_key("parent_id"))).join(F.broadcast(top), "root_id", "left_semi")
+    return tree.join(below.filter("depth >= 0").select("event_id", F.col("depth").cast("int").alias("level")), "event_id")
 
 
 def critical_paths(log: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.session import partitions, written
+from loomlog.session import discard, partitions, written
 
 #: A quotient of at most this many fragments is solved by one task.
 BASE_ROWS = 200_000
@@ -85,7 +85,9 @@ def _contract_partition(batches):
 
 
 def _double(links: DataFrame, n: int) -> DataFrame:
-    """Links without any locality: halve all chains by joins until each ends at a root; what never ends is a loop."""
+    """Links without any locality (more than half of them leave their partition, so contraction gains nothing): halve all
+    chains by joins until each ends at a root; what never ends is a loop. Each round joins and writes all links that have not
+    ended, and there are as many rounds as the longest chain of links has binary digits."""
     now = written(links.select("key", "parent", "w", "m", "ord"), "links")
     for _ in range(math.ceil(math.log2(n + 1)) + 1):
         to = now.select(F.col("key").alias("parent"), F.col("parent").alias("p2"), F.col("w").alias("w2"), F.col("m").alias("m2"))
@@ -97,7 +99,8 @@ def _double(links: DataFrame, n: int) -> DataFrame:
             (F.col("w") + F.when(F.col("p2").isNotNull(), F.col("w2")).otherwise(0)).alias("w"),
             F.when(F.col("p2").isNotNull(), F.least("m", "m2")).otherwise(F.col("m")).alias("m"), "ord",
         )
-        now = written(step.unionByName(now.filter("parent is null")), "links")
+        last, now = now, written(step.unionByName(now.filter("parent is null")), "links")
+        discard(last)
     # Every link now ends at a root or, on or below a loop, at a node of the loop whose own m is the loop's smallest.
     to = now.select(F.col("key").alias("parent"), F.col("parent").alias("p2"), F.col("m").alias("m2"))
     ends = now.filter("parent is not null").join(to, "parent").select(
@@ -225,7 +228,8 @@ def _double_above(links: DataFrame) -> DataFrame:
     while now.filter("parent is not null").limit(1).count():
         to = now.select(F.col("key").alias("parent"), F.col("parent").alias("p2"), F.col("seg").alias("seg2"))
         step = now.filter("parent is not null").join(to, "parent").select("key", F.col("p2").alias("parent"), F.concat("seg2", "seg").alias("seg"))
-        now = written(step.unionByName(now.filter("parent is null")), "steps")
+        last, now = now, written(step.unionByName(now.filter("parent is null")), "steps")
+        discard(last)
     return now.select("key", F.col("seg").alias("above"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.session import partitions
@@ -23,55 +23,72 @@ _NO_SEQ = -(1 << 63)
 _PARTIAL_DDL = "field string, key binary, n bigint, first_seq bigint, last_seq bigint, first_ts bigint, last_ts bigint, max_step bigint"
 
 
+def _batch_runs(b: pa.RecordBatch) -> list[list]:
+    """The columns of one partial state per run of equal (field, key) in a sorted batch."""
+    field, key = b.column("field"), b.column("key")
+    seq, ts = b.column("seq").to_numpy(zero_copy_only=False), b.column("ts")
+    timed = ts.is_valid().to_numpy(zero_copy_only=False)
+    ts = pc.fill_null(ts, 0).to_numpy(zero_copy_only=False)
+    change = np.ones(b.num_rows, bool)
+    if b.num_rows > 1:
+        differs = pc.or_(pc.not_equal(key[1:], key[:-1]), pc.not_equal(field[1:], field[:-1]))
+        change[1:] = differs.to_numpy(zero_copy_only=False)
+    start = np.flatnonzero(change)
+    end = np.append(start[1:], b.num_rows) - 1
+    step = np.zeros(b.num_rows, np.int64)
+    step[1:] = np.where(change[1:] | ~timed[1:] | ~timed[:-1], 0, ts[1:] - ts[:-1])
+    at = lambda i: pa.array(ts[i], mask=~timed[i]).to_pylist()
+    return [
+        field.take(pa.array(start)).to_pylist(), key.take(pa.array(start)).to_pylist(), (end - start + 1).tolist(), seq[start].tolist(), seq[end].tolist(),
+        at(start), at(end), np.maximum.reduceat(step, start).tolist(),
+    ]
+
+
+def _follow(a: list, b: list) -> list:
+    """The state of a run and of the one that goes on from it."""
+    seam = b[5] - a[6] if b[5] is not None and a[6] is not None else 0
+    return [*a[:2], a[2] + b[2], a[3], b[4], a[5], b[6], max(a[7], b[7], seam)]
+
+
 def _runs(batches):
-    """One partial state per run of equal (field, key) in a sorted partition; ``max_step`` is the longest time between
-    neighbours inside the run. Runs cut by an Arrow batch give two partials, stitched like any others."""
+    """One partial state per (field, key) of a sorted partition, whatever Arrow batches it comes in; ``max_step`` is the longest
+    time between neighbours that both have one."""
+    held: list | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        field, key = b.column("field"), b.column("key")
-        seq, ts = (b.column(c).to_numpy(zero_copy_only=False) for c in ("seq", "ts"))
-        change = np.ones(b.num_rows, bool)
-        if b.num_rows > 1:
-            differs = pc.or_(pc.not_equal(key[1:], key[:-1]), pc.not_equal(field[1:], field[:-1]))
-            change[1:] = differs.to_numpy(zero_copy_only=False)
-        start = np.flatnonzero(change)
-        end = np.append(start[1:], b.num_rows) - 1
-        step = np.zeros(b.num_rows, np.int64)
-        step[1:] = np.where(change[1:], 0, ts[1:] - ts[:-1])
-        yield pa.RecordBatch.from_arrays(
-            [field.take(pa.array(start)), key.take(pa.array(start)), pa.array(end - start + 1), pa.array(seq[start]),
-             pa.array(seq[end]), pa.array(ts[start]), pa.array(ts[end]), pa.array(np.maximum.reduceat(step, start))],
-            schema=_PARTIAL,
-        )
+        rows = [list(r) for r in zip(*_batch_runs(b))]
+        if held is not None:
+            if held[:2] == rows[0][:2]:
+                rows[0] = _follow(held, rows[0])
+            else:
+                rows.insert(0, held)
+        held = rows.pop()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PARTIAL)], schema=_PARTIAL)
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(held, _PARTIAL)], schema=_PARTIAL)
 
 
 def profile(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """One row per (field, key): ``n``, first and last ``seq`` and ``ts``, and ``max_step``, the longest time between
-    events that follow each other by ``seq``.
+    events that follow each other by ``seq`` (0 where no two neighbours have a time).
 
-    ``rows``: ``field`` string, ``key`` binary (not null), ``seq`` bigint, ``ts`` bigint (0 where the row has no time).
-    Ties in ``seq`` count as neighbours in any order. A row without ``seq`` counts and stands before all others (its
-    ``first_seq`` is null). Empty input, empty result.
+    ``rows``: ``field`` string, ``key`` binary (not null), ``seq`` bigint, ``ts`` bigint or null. Ties in ``seq`` count as
+    neighbours in any order. A row without ``seq`` counts and stands before all others (its ``first_seq`` is null). Empty
+    input, empty result. A key has at most as many partial states as there are partitions, one each; they are stitched row
+    by row, never as one list.
     """
     seq = F.coalesce("seq", F.lit(_NO_SEQ)).alias("seq")
-    placed = rows.select("field", "key", seq, F.coalesce("ts", F.lit(0)).alias("ts")).repartitionByRange(
-        parts or partitions(rows.sparkSession), "field", "key", "seq"
-    )
+    placed = rows.select("field", "key", seq, F.col("ts").cast("bigint").alias("ts")).repartitionByRange(parts or partitions(rows.sparkSession), "field", "key", "seq")
     partial = placed.sortWithinPartitions("field", "key", "seq").mapInArrow(_runs, _PARTIAL_DDL)
-    states = partial.groupBy("field", "key").agg(
-        F.sum("n").alias("n"),
-        F.array_sort(F.collect_list(F.struct("first_seq", "last_seq", "first_ts", "last_ts", "max_step"))).alias("s"),
-    )
-    count = F.size("s")
-    inner = F.array_max(F.col("s.max_step"))
-    seams = F.when(
-        count > 1,
-        F.array_max(F.zip_with(F.slice("s", F.lit(2), count - 1), F.slice("s", F.lit(1), count - 1), lambda b, a: b["first_ts"] - a["last_ts"])),
-    )
-    return states.select(
-        "field", "key", "n",
-        F.nullif(F.col("s")[0]["first_seq"], F.lit(_NO_SEQ)).alias("first_seq"), F.nullif(F.element_at("s", -1)["last_seq"], F.lit(_NO_SEQ)).alias("last_seq"),
-        F.col("s")[0]["first_ts"].alias("first_ts"), F.element_at("s", -1)["last_ts"].alias("last_ts"),
-        F.greatest(inner, seams).alias("max_step"),
+    order = Window.partitionBy("field", "key").orderBy("first_seq", "last_seq")
+    seam = F.col("first_ts") - F.lag("last_ts").over(order)
+    stitched = partial.withColumn("seam", seam)
+    first, last = F.struct("first_seq", "last_seq"), F.struct("last_seq", "first_seq")
+    known = lambda c: F.nullif(c, F.lit(_NO_SEQ))
+    return stitched.groupBy("field", "key").agg(
+        F.sum("n").alias("n"), known(F.min("first_seq")).alias("first_seq"), known(F.max("last_seq")).alias("last_seq"),
+        F.min(F.struct(first.alias("o"), F.col("first_ts").alias("t")))["t"].alias("first_ts"), F.max(F.struct(last.alias("o"), F.col("last_ts").alias("t")))["t"].alias("last_ts"),
+        F.greatest(F.max("max_step"), F.max("seam"), F.lit(0)).alias("max_step"),
     )

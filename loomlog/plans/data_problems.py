@@ -59,7 +59,7 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "stored_events").select(
         id_key("correlation_id").alias("correlation"), F.encode("reactor_id", "UTF-8").alias("reactor"), "seq",
-        F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)).alias("ts"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"),
     )
     pairs = F.array(
         F.struct(F.lit("correlation_id").alias("field"), F.col("correlation").alias("key")),

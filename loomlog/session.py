@@ -18,11 +18,15 @@ _roots: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a single machine) a temporary folder is made and set.
+    Where that setting is absent, a single machine (master ``local`` or ``local[n]``) gets a temporary folder; anywhere else it
+    is an error, since other machines would not see what is written there.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _roots:
         _roots[app] = tempfile.mkdtemp(prefix="loomlog-")
@@ -57,6 +61,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a written table before the driver ends; nothing may read it any more."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.loomlog_path)
+    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
