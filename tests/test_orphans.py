@@ -45,3 +45,14 @@ def test_find(spark):
     assert len(got) == len(set(got)) and set(got) == want
     assert orphans.find(r.limit(0), e.limit(0), d.limit(0), 2).count() == 0
     assert {x["state"] for x in orphans.find(r, e.limit(0), d.limit(0), 2).collect()} == {"missing"}
+
+
+def test_heavy_keys_are_joined_apart(spark):
+    rng = random.Random(5)
+    keys = [bytes([i]) for i in range(20)]
+    refs = [(0, h, bytearray(keys[h % 3] if h % 2 else rng.choice(keys)), h, 1) for h in range(900)]
+    r = spark.createDataFrame(refs, "ref_table int, holder bigint, key binary, us bigint, month int")
+    e = spark.createDataFrame([(bytearray(k), 300) for k in (keys[0], keys[1], keys[7])], "key binary, us bigint")  # 0 and 1 are heavy, 1 late for some
+    d = spark.createDataFrame([(bytearray(keys[2]),)], "key binary")
+    rows = lambda heavy: sorted((x["holder"], bytes(x["key"]), x["state"]) for x in orphans.find(r, e, d, 3, heavy).collect())
+    assert rows(100) == rows(10**9) == rows(0) != []
