@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.shred import parse, texts
-from loomlog.session import written
+from loomlog.session import small, written
 
 _KEYS = ["producer", "event_type", "segment_no"]
+_FILE = [*_KEYS, "payload"]
 
 
 def json_object(text: str | None) -> dict | None:
@@ -92,42 +93,98 @@ def _observe(batches):
             yield pa.RecordBatch.from_arrays(arrays, schema=_FACTS)
 
 
-def observe(lines: DataFrame) -> DataFrame:
-    """The (file, event type, path, type, value) facts of ``lines``, repeats removed only within an Arrow batch; a row with
-    null path says the type has lines."""
-    rows = lines.select("producer", "event_type", F.col("segment_no").cast("bigint").alias("segment_no"), "payload")
+def observe(rescued: DataFrame) -> DataFrame:
+    """The (file, event type, path, type, value) facts of a rescue column, repeats removed only within an Arrow batch."""
     ddl = "producer string, event_type string, segment_no bigint, path string, type string, atom string"
-    return rows.mapInArrow(_observe, ddl)
+    return rescued.select("producer", "event_type", "segment_no", "_rescued").mapInArrow(_observe, ddl).filter("path is not null")
 
 
-def changes(facts: DataFrame) -> DataFrame:
+_FIELD = pa.schema([f for f in _FACTS if f.name != "atom"])
+
+
+def _fields(batches):
+    for b in batches:
+        seen = set()
+        add = seen.add
+        for producer, kind, segment, text in zip(*(c.to_pylist() for c in b.columns)):
+            v = json_object(text)
+            if v is not None:
+                add((producer, kind, segment, None, None))
+                for path, x in leaves(v):
+                    c = x.__class__
+                    add((producer, kind, segment, path, "string" if c is str else "number" if c is int else json_type(x)))
+        rows = list(seen)
+        for i in range(0, len(rows), 10_000):
+            arrays = [pa.array(c, pa.int64()) if f.name == "segment_no" else texts(c) for c, f in zip(zip(*rows[i : i + 10_000]), _FIELD)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=_FIELD)
+
+
+def schemas(lines: DataFrame) -> DataFrame:
+    """The schema of each file and event type: ``producer, event_type, segment_no, path, types`` (JSON types without null),
+    a row with null path saying that the type has lines there."""
+    ddl = "producer string, event_type string, segment_no bigint, path string, type string"
+    return lines.select(*_FILE).mapInArrow(_fields, ddl).groupBy(*_KEYS, "path").agg(F.array_sort(F.collect_set("type")).alias("types"))
+
+
+def _rescuer(batches):
+    for b in batches:
+        known: dict = {}
+        out: tuple[list, ...] = ([], [], [], [])
+        for producer, kind, segment, text, misfits in zip(*(c.to_pylist() for c in b.columns)):
+            v = json_object(text)
+            if v is None:
+                continue
+            of = known.get((producer, kind, segment))
+            if of is None:
+                of = known[producer, kind, segment] = frozenset(misfits)
+            left = {path: x for path, x in leaves(v) if path in of}
+            if left:
+                for c, x in zip(out, (producer, kind, segment, json.dumps(left, ensure_ascii=False))):
+                    c.append(x)
+        yield pa.RecordBatch.from_arrays([texts(out[0]), texts(out[1]), pa.array(out[2], pa.int64()), texts(out[3])], names=["producer", "event_type", "segment_no", "_rescued"])
+
+
+def rescue(lines: DataFrame, misfits: DataFrame) -> DataFrame:
+    """The rescue column of ``lines`` read against the schemas of the files beside theirs: the JSON of the fields that those
+    do not know, or know with another type (``misfits``: ``producer, event_type, segment_no, paths``). Lines in which every
+    field fits have no rescued rest and give no row, and files without misfits are not parsed."""
+    held = lines.select(*_FILE).join(small(misfits), _KEYS)
+    return held.select(*_KEYS, "payload", "paths").mapInArrow(_rescuer, "producer string, event_type string, segment_no bigint, _rescued string")
+
+
+def report(lines: DataFrame) -> DataFrame:
     """``producer, segment_no, event_type, field, old_field, change`` of each file against the last earlier file in which
     the producer's event type has lines. Null producers, types or segments take part in nothing.
 
-    A removed and an added field of one file are a rename when they share values; of several candidates the pair with
-    most shared values goes first (ties: by name), each field in one pair.
+    Each file is read against two target schemas, those of the files before and after it; what does not fit them is in its
+    rescue column, and the report is read off that: a rescued field that the file before does not know came, one that the
+    file after does not know goes, one that it knows otherwise was retyped. A field that goes and one that comes in one file
+    are a rename when their rescued values share one; of several candidates the pair with most shared values goes first
+    (ties: by name), each field in one pair.
     """
-    facts = written(facts.filter("producer is not null and event_type is not null and segment_no is not null"), "facts")
-    fields = written(facts.groupBy(*_KEYS, "path").agg(F.array_sort(F.collect_set("type")).alias("types")), "fields")
+    lines = lines.filter("producer is not null and event_type is not null and segment_no is not null")
+    lines = lines.withColumn("segment_no", F.col("segment_no").cast("bigint"))
+    fields = written(schemas(lines), "fields")
     order = Window.partitionBy("producer", "event_type").orderBy("segment_no")
-    segments = fields.select(*_KEYS).distinct()
-    steps = segments.withColumn("prev", F.lag("segment_no").over(order)).withColumn("next", F.lead("segment_no").over(order))
-    real = fields.filter("path is not null").join(steps, _KEYS)
+    steps = fields.filter("path is null").select(*_KEYS, F.lag("segment_no").over(order).alias("prev"), F.lead("segment_no").over(order).alias("next"))
+    real = fields.filter("path is not null").join(small(written(steps, "steps")), _KEYS)
     now = real.filter("prev is not null").select(*_KEYS, "path", F.col("types").alias("now"))
     before = real.filter("next is not null").select(
         "producer", "event_type", F.col("next").alias("segment_no"), "path", F.col("types").alias("before"), F.col("segment_no").alias("was")
     )
-    both = before.join(now, [*_KEYS, "path"], "full_outer").select(
-        *_KEYS, "path", "was",
+    change = (
         F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed")
-        .when((F.size("before") > 0) & (F.size("now") > 0) & (F.col("before") != F.col("now")), "retyped").alias("change"),
-    ).filter("change is not null")
-    both = written(both, "changes")
-    # the values of fields that came or went, each read in the file that has the field
-    wanted = both.filter("change in ('added', 'removed')").select(
-        "producer", "event_type", F.coalesce("was", "segment_no").alias("of"), "path", F.col("segment_no").alias("at"), "change"
-    )
-    values = facts.filter("atom is not null").withColumnRenamed("segment_no", "of").join(wanted, ["producer", "event_type", "of", "path"])
+        .when((F.size("before") > 0) & (F.size("now") > 0) & (F.col("before") != F.col("now")), "retyped")
+    )
+    misfits = before.join(now, [*_KEYS, "path"], "full_outer").withColumn("change", change).filter("change is not null")
+    # the file that holds the field, and the one at which the change is reported
+    holder = F.when(F.col("change") == "removed", F.col("was")).otherwise(F.col("segment_no"))
+    misfits = written(misfits.select("producer", "event_type", holder.alias("segment_no"), "path", F.col("segment_no").alias("at"), "change"), "misfits")
+    rescued = rescue(lines, misfits.groupBy(*_KEYS).agg(F.collect_set("path").alias("paths")))
+    facts = written(observe(rescued).distinct(), "facts")
+    seen = small(misfits)
+    found = written(facts.select(*_KEYS, "path").distinct().join(seen, [*_KEYS, "path"]).select("producer", "event_type", F.col("at").alias("segment_no"), "path", "change"), "changes")
+    values = facts.filter("atom is not null").join(seen.filter("change <> 'retyped'"), [*_KEYS, "path"])
     values = values.select("producer", "event_type", F.col("at").alias("segment_no"), "change", "path", "atom").distinct()
     old = values.filter("change = 'removed'").select(*_KEYS, "atom", F.col("path").alias("old_field"))
     new = values.filter("change = 'added'").select(*_KEYS, "atom", F.col("path").alias("field"))
@@ -135,10 +192,11 @@ def changes(facts: DataFrame) -> DataFrame:
     renamed = shared.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.struct((-F.col("common")).alias("c"), "old_field", "field"))).alias("p")).select(
         *_KEYS, F.explode(_greedy("p")).alias("r")
     ).select(*_KEYS, F.col("r.field").alias("field"), F.col("r.old_field").alias("old_field"))
+    renamed = written(renamed, "renamed")
     paired = renamed.select(*_KEYS, F.col("field").alias("path"), F.lit("added").alias("change")).unionByName(
         renamed.select(*_KEYS, F.col("old_field").alias("path"), F.lit("removed").alias("change"))
     )
-    rest = both.join(paired, [*_KEYS, "path", "change"], "left_anti").select(*_KEYS, F.col("path").alias("field"), F.lit("").alias("old_field"), "change")
+    rest = found.join(small(paired), [*_KEYS, "path", "change"], "left_anti").select(*_KEYS, F.col("path").alias("field"), F.lit("").alias("old_field"), "change")
     out = rest.unionByName(renamed.select(*_KEYS, "field", "old_field", F.lit("renamed").alias("change")))
     return out.select("producer", "segment_no", "event_type", "field", "old_field", "change")
 

@@ -211,27 +211,28 @@ def p5_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.changes(drift.observe(table(spark, d, "archive_lines")))
+    return drift.report(table(spark, d, "archive_lines"))
 
 
-#: p6_table: columns approved from the start, and other names known of them; all other fields are found in the data.
+#: p6_table: the target schema that lines are ingested against; all other fields are promoted from the rescue column.
 TARGET = {"qty": "double", "amount": "double", "city": "string", "channel": "string", "order_ref": "string", "active": "boolean"}
-RENAMES = {
-    "quantity": "qty", "units": "qty", "amount_minor": "amount", "total": "amount", "address.city": "city", "town": "city",
-    "sales_channel": "channel", "meta.channel": "channel", "orderRef": "order_ref", "order.ref": "order_ref",
-    "is_active": "active", "enabled": "active",
-}
+
+
+def p6_renames(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of names that are one field: the renames that the report finds and those that the upcasters tell."""
+    found = p6_found(spark, d).filter("change = 'renamed'").select("old_field", "field")
+    step = F.from_json("transform", "op string, `from` string, `to` string").alias("s")
+    told = table(spark, d, "upcasters").select(step).filter("s.op = 'rename' and s.`from` is not null and s.`to` is not null")
+    return found.union(told.select("s.from", "s.to")).distinct()
 
 
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     """All archive lines as one table: every field one typed column, whatever its names; what does not fit its column's type
-    is in the rescued rest. Names come together by the reported renames and those of the upcasters."""
+    is in the rescued rest. Lines are ingested against ``TARGET``, names coming together by ``p6_renames``; then the rescue
+    column is replayed into one column for each other field."""
     archive = table(spark, d, "archive_lines")
-    found = p6_found(spark, d).filter("change = 'renamed'").select("old_field", "field")
-    step = F.from_json("transform", "op string, `from` string, `to` string").alias("s")
-    told = table(spark, d, "upcasters").select(step).filter("s.op = 'rename' and s.`from` is not null and s.`to` is not null").select("s.from", "s.to")
-    pairs = sorted((r[0], r[1]) for r in found.union(told).distinct().collect())
-    columns, renames = drift.target(archive, [*RENAMES.items(), *pairs], TARGET)
+    pairs = sorted((r["old_field"], r["field"]) for r in p6_renames(spark, d).collect())  # distinct names of fields
+    columns, renames = drift.target(archive, pairs, TARGET)
     lines = archive.select("line_no", "producer", "segment_no", "event_type", "payload")
     approved = {c: k for c, k in columns.items() if c in TARGET}
     rest = {c: k for c, k in columns.items() if c not in approved}
@@ -240,5 +241,5 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_trees, p1_paths, p1_descendants, p2_found, p2_profiles, p3_found, p3_shipments, p3_lines, p3_adjustments, p3_lists, p3_variants, p4_found, p4_report, p5_found, p5_runs, p6_found, p6_table)
+    for f in (p1_found, p1_trees, p1_paths, p1_descendants, p2_found, p2_profiles, p3_found, p3_shipments, p3_lines, p3_adjustments, p3_lists, p3_variants, p4_found, p4_report, p5_found, p5_runs, p6_found, p6_renames, p6_table)
 }

@@ -91,3 +91,6 @@ ORACLES["p6_found"] = f"""{_LEAVES} SELECT producer, segment_no, event_type, fie
   UNION ALL SELECT producer, segment_no, event_type, path, '', change FROM d WHERE change IS NOT NULL
     AND NOT EXISTS (SELECT 1 FROM best b WHERE b.producer = d.producer AND b.event_type = d.event_type AND b.segment_no = d.segment_no
       AND ((d.change = 'added' AND b.field = d.path) OR (d.change = 'removed' AND b.old_field = d.path)))"""
+
+ORACLES["p6_renames"] = f"""{_LEAVES} SELECT old_field, field FROM best UNION
+  SELECT transform->>'$.from', transform->>'$.to' FROM upcasters WHERE transform->>'$.op' = 'rename'"""

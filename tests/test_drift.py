@@ -10,7 +10,7 @@ def rows(*segments, producer="p", kind="t"):
 
 
 def changes(spark, data):
-    got = drift.changes(drift.observe(spark.createDataFrame(data, LINES))).collect()
+    got = drift.report(spark.createDataFrame(data, LINES)).collect()
     return {(r["producer"], r["segment_no"], r["field"], r["old_field"], r["change"]) for r in got}
 
 

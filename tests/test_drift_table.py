@@ -4,8 +4,13 @@ from test_drift import LINES, rows
 
 import __spark_entry__ as entry
 from loomlog.operators import drift
-from loomlog.plans.data_problems import RENAMES, TARGET
+from loomlog.plans.data_problems import TARGET
 
+RENAMES = {
+    "quantity": "qty", "units": "qty", "amount_minor": "amount", "total": "amount", "address.city": "city", "town": "city",
+    "sales_channel": "channel", "meta.channel": "channel", "orderRef": "order_ref", "order.ref": "order_ref",
+    "is_active": "active", "enabled": "active",
+}
 DATA = "/root/testdata/sf0.001"
 
 
