@@ -68,16 +68,24 @@ _FACTS = pa.schema(
 )
 
 
+#: Distinct facts that a task holds before it sends them on.
+_HELD = 100_000
+
+
+def _sent(seen: set, schema: pa.Schema):
+    rows = list(seen)
+    for i in range(0, len(rows), 10_000):
+        arrays = [pa.array(c, pa.int64()) if f.name == "segment_no" else texts(c) for c, f in zip(zip(*rows[i : i + 10_000]), schema)]
+        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+    seen.clear()
+
+
 def _observe(batches):
+    seen: set = set()
+    add = seen.add
     for b in batches:
-        seen = set()
-        add = seen.add
         for producer, kind, segment, text in zip(*(c.to_pylist() for c in b.columns)):
-            v = json_object(text)
-            if v is None:
-                continue
-            add((producer, kind, segment, None, None, None))
-            for path, x in leaves(v):
+            for path, x in leaves(json_object(text) or {}):
                 if x.__class__ is str:
                     add((producer, kind, segment, path, "string", x))
                 elif x.__class__ is int:
@@ -86,26 +94,24 @@ def _observe(batches):
                     of = json_type(x)
                     for a in set(atoms(x)) or (None,):
                         add((producer, kind, segment, path, of, a))
-        rows = list(seen)
-        for i in range(0, len(rows), 10_000):
-            columns = zip(*rows[i : i + 10_000])
-            arrays = [pa.array(c, pa.int64()) if f.name == "segment_no" else texts(c) for c, f in zip(columns, _FACTS)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_FACTS)
+        if len(seen) > _HELD:
+            yield from _sent(seen, _FACTS)
+    yield from _sent(seen, _FACTS)
 
 
 def observe(rescued: DataFrame) -> DataFrame:
-    """The (file, event type, path, type, value) facts of a rescue column, repeats removed only within an Arrow batch."""
+    """The (file, event type, path, type, value) facts of a rescue column, most repeats removed."""
     ddl = "producer string, event_type string, segment_no bigint, path string, type string, atom string"
-    return rescued.select("producer", "event_type", "segment_no", "_rescued").mapInArrow(_observe, ddl).filter("path is not null")
+    return rescued.select("producer", "event_type", "segment_no", "_rescued").mapInArrow(_observe, ddl)
 
 
 _FIELD = pa.schema([f for f in _FACTS if f.name != "atom"])
 
 
 def _fields(batches):
+    seen: set = set()
+    add = seen.add
     for b in batches:
-        seen = set()
-        add = seen.add
         for producer, kind, segment, text in zip(*(c.to_pylist() for c in b.columns)):
             v = json_object(text)
             if v is not None:
@@ -113,10 +119,9 @@ def _fields(batches):
                 for path, x in leaves(v):
                     c = x.__class__
                     add((producer, kind, segment, path, "string" if c is str else "number" if c is int else json_type(x)))
-        rows = list(seen)
-        for i in range(0, len(rows), 10_000):
-            arrays = [pa.array(c, pa.int64()) if f.name == "segment_no" else texts(c) for c, f in zip(zip(*rows[i : i + 10_000]), _FIELD)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_FIELD)
+        if len(seen) > _HELD:
+            yield from _sent(seen, _FIELD)
+    yield from _sent(seen, _FIELD)
 
 
 def schemas(lines: DataFrame) -> DataFrame:
@@ -181,7 +186,7 @@ def report(lines: DataFrame) -> DataFrame:
     holder = F.when(F.col("change") == "removed", F.col("was")).otherwise(F.col("segment_no"))
     misfits = written(misfits.select("producer", "event_type", holder.alias("segment_no"), "path", F.col("segment_no").alias("at"), "change"), "misfits")
     rescued = rescue(lines, misfits.groupBy(*_KEYS).agg(F.collect_set("path").alias("paths")))
-    facts = written(observe(rescued).distinct(), "facts")
+    facts = written(observe(rescued), "facts")
     seen = small(misfits)
     found = written(facts.select(*_KEYS, "path").distinct().join(seen, [*_KEYS, "path"]).select("producer", "event_type", F.col("at").alias("segment_no"), "path", "change"), "changes")
     values = facts.filter("atom is not null").join(seen.filter("change <> 'retyped'"), [*_KEYS, "path"])
