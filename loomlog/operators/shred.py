@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.session import scratch_path
+
 #: The fields that hold records, the kind of their records and the field of a record's own id.
 RECORD_FIELDS = {
     "shipments": ("shipment", "shipment_id"),
@@ -232,6 +234,16 @@ def shred(texts: DataFrame, source: str, per_key: bool) -> DataFrame:
     return texts.select("event_id", "text").mapInArrow(_shredder(source, per_key), SUPERTYPE)
 
 
+def route(supertype: DataFrame) -> DataFrame:
+    """Write each variant of each kind to a table of its own (a folder per kind and variant) and read all of them as one: a
+    filter on kind or variant reads those tables only. Rows are rebalanced by variant first, which splits a variant that
+    holds most records over many tasks and keeps small ones in few files."""
+    spark = supertype.sparkSession
+    path = scratch_path(spark, "variants")
+    supertype.hint("rebalance", "kind", "variant").write.partitionBy("kind", "variant").option("compression", "zstd").parquet(path)
+    return spark.read.schema(supertype.schema).parquet(path).select(*supertype.columns)
+
+
 #: Typed columns that the subtype tables have even where no record does.
 SUBTYPES = {
     "shipment": "carrier string",

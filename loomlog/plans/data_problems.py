@@ -100,7 +100,7 @@ def p2_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
-    """The supertype table of all records in both sources."""
+    """The supertype table of all records in both sources, read from the tables of their variants."""
     held = F.when(shred.may_hold("payload"), F.col("payload")).alias("text")
     events = table(spark, d, "stored_events").select("id", "seq", held)
     events = first_by_id(events, "text").filter("text is not null").select(id_text("key").alias("event_id"), "text")
@@ -108,7 +108,7 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     commits = commits.filter(F.col("text").isNotNull() & shred.may_hold("text")).distinct().select(
         F.coalesce(id_text("key"), F.lit("")).alias("event_id"), "text"
     )
-    return shred.shred(events, "stored_events", per_key=False).unionByName(shred.shred(commits, "intent_commits", per_key=True))
+    return shred.route(shred.shred(events, "stored_events", per_key=False).unionByName(shred.shred(commits, "intent_commits", per_key=True)))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +116,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _subtype(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    return shred.subtype(written(p3_records(spark, d).filter(F.col("kind") == kind), "records"), kind)
+    return shred.subtype(p3_records(spark, d), kind)
 
 
 def p3_shipments(spark: SparkSession, d: str) -> DataFrame:

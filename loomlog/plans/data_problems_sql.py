@@ -94,3 +94,31 @@ ORACLES["p6_found"] = f"""{_LEAVES} SELECT producer, segment_no, event_type, fie
 
 ORACLES["p6_renames"] = f"""{_LEAVES} SELECT old_field, field FROM best UNION
   SELECT transform->>'$.from', transform->>'$.to' FROM upcasters WHERE transform->>'$.op' = 'rename'"""
+
+_OWN = "CASE field WHEN 'shipments' THEN 'shipment_id' WHEN 'adjustments' THEN 'adj_id' ELSE 'line_id' END"
+_HOLDS = "('shipments', 'lines', 'components', 'adjustments')"
+#: A JSON text inside a JSON text as the value it spells, else the value itself.
+_VALUE = "CASE WHEN json_type({0}) = 'VARCHAR' AND json_valid({0}->>'$') AND json_type({0}->>'$') IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN CAST({0}->>'$' AS JSON) ELSE {0} END"
+_RID = f"coalesce(json_extract_string(v, '$.' || {_OWN}), filed_as)"
+#: g: any value; h: what a record field holds; r: a record.
+_RECORDS = f"""WITH RECURSIVE keyed AS (SELECT *, {_id('id')} AS k FROM stored_events),
+firsts AS (SELECT k, arg_min(struct_pack(p := payload), seq).p AS payload FROM keyed WHERE k IS NOT NULL GROUP BY k),
+commits AS (SELECT DISTINCT coalesce({_id('event_id')}, '') AS k, aggregate_snapshots AS t FROM intent_commits WHERE json_valid(aggregate_snapshots)),
+objects AS (SELECT k, {_VALUE.format('CAST(t AS JSON)')} AS o FROM commits),
+walk(source, event_id, agg, mode, field, filed_as, around, v) AS (
+  SELECT 'stored_events', k, '', 'g', '', '', '', CAST(payload AS JSON) FROM firsts WHERE json_valid(payload)
+  UNION ALL SELECT 'intent_commits', k, e.key, CASE WHEN e.key IN {_HOLDS} THEN 'h' ELSE 'g' END, e.key, '', '', CAST(e.value AS JSON)
+    FROM (SELECT * FROM objects WHERE json_type(o) = 'OBJECT') x, json_each(x.o) e
+  UNION ALL SELECT source, event_id, agg,
+    CASE WHEN mode = 'h' THEN CASE WHEN json_type(v) = 'OBJECT' THEN 'r' ELSE 'h' END WHEN json_type(v) = 'OBJECT' AND e.key IN {_HOLDS} THEN 'h' ELSE 'g' END,
+    CASE WHEN mode = 'h' THEN field WHEN json_type(v) = 'OBJECT' THEN e.key ELSE '' END,
+    CASE WHEN mode <> 'h' OR json_type(v) <> 'OBJECT' THEN '' WHEN filed THEN e.key ELSE field END,
+    CASE WHEN mode = 'r' THEN {_RID} ELSE around END,
+    CASE WHEN mode = 'h' AND filed THEN {_VALUE.format('CAST(e.value AS JSON)')} ELSE CAST(e.value AS JSON) END
+  FROM (SELECT *, mode = 'h' AND json_type(v) = 'OBJECT' AND NOT json_exists(v, '$.' || {_OWN}) AND
+      coalesce(list_bool_and(list_transform(json_extract(v, '$.*'), lambda x: json_type({_VALUE.format('x')}) IN ('NULL', 'OBJECT'))), false) AS filed
+    FROM walk WHERE json_type(v) IN ('OBJECT', 'ARRAY') OR json_type(v) = 'VARCHAR' AND json_type({_VALUE.format('v')}) <> 'VARCHAR') w,
+  json_each(CASE WHEN json_type(v) = 'VARCHAR' THEN json_array({_VALUE.format('v')}) WHEN mode = 'h' AND json_type(v) = 'OBJECT' AND NOT filed THEN json_array(v) ELSE v END) e
+  WHERE e.type IN ('OBJECT', 'ARRAY', 'VARCHAR') AND NOT (mode = 'h' AND v = '{{}}'))"""
+ORACLES["p3_found"] = f"""{_RECORDS} SELECT source, event_id, agg AS aggregate_key, CASE field WHEN 'shipments' THEN 'shipment' WHEN 'adjustments' THEN 'adjustment' ELSE 'line' END AS kind,
+  {_RID} AS record_id, around AS parent_record_id FROM walk WHERE mode = 'r'"""
