@@ -41,12 +41,13 @@ def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Every event's root, depth and path from the root; on and below loops the loop's smallest id, -1 and null."""
+    """Every event's root, depth and path from the root, its ids parted by slashes; on and below loops the loop's smallest
+    id, -1 and null."""
     resolved, paths = _paths(spark, d)
     looped = resolved.filter("cyclic").select("key", "top", "depth", F.lit(None).cast("array<binary>").alias("path"))
     rooted = paths.filter("path is not null").select("key", F.element_at("path", 1).alias("top"), (F.size("path") - 1).cast("bigint").alias("depth"), "path")
     return rooted.unionByName(looped).select(
-        id_text("key").alias("id"), id_text("top").alias("top_id"), "depth", F.transform("path", id_text).alias("path")
+        id_text("key").alias("id"), id_text("top").alias("top_id"), "depth", F.array_join(F.transform("path", id_text), "/").alias("path")
     )
 
 

@@ -44,6 +44,10 @@ states AS (SELECT DISTINCT ref_table, coalesce(strftime(t, '%Y-%m'), 'none') AS
 ORACLES = {
     "p1_found": f"{_WALK} SELECT id, top_id, CAST(depth AS BIGINT) AS depth FROM every WHERE depth >= 25 OR depth = -1",
     "p1_trees": f"{_WALK} SELECT top_id, count(*) AS n_events, CAST(max(depth) AS BIGINT) AS max_depth FROM every GROUP BY top_id",
+    "p1_paths": f"""{_WALK}, paths(id, path) AS (SELECT id, id FROM roots UNION ALL SELECT edge.id, path || '/' || edge.id FROM paths JOIN edge ON edge.up = paths.id)
+        SELECT every.id, top_id, CAST(depth AS BIGINT) AS depth, path FROM every LEFT JOIN paths ON paths.id = every.id AND depth >= 0""",
+    "p1_descendants": f"""{_WALK} SELECT a AS id, anc.id AS descendant_id, CAST(below.depth - above.depth AS BIGINT) AS distance
+        FROM anc JOIN every below ON below.id = anc.id JOIN every above ON above.id = anc.a WHERE below.depth >= 0""",
     "p2_found": f"""WITH {_KEYS} SELECT field, key_value FROM rows WHERE key_value IS NOT NULL GROUP BY ALL
         HAVING count(*) * 20 >= (SELECT count(*) FROM stored_events)""",
     "p2_profiles": f"""WITH {_KEYS}, steps AS (SELECT *, us - lag(us) OVER (PARTITION BY field, key_value ORDER BY seq) AS step
@@ -64,6 +68,18 @@ ORACLES = {
         WHERE (seq > active OR ingested_at > updated_at) AND (k IS NULL OR nth = 1)""",
 }
 
+_NEW = "(seq > active OR ingested_at > since) AND seq <= upto AND (ingested_at IS NULL OR horizon IS NULL OR ingested_at <= horizon) AND (k IS NULL OR nth = 1)"
+ORACLES["p5_runs"] = f"""WITH pos AS (SELECT DISTINCT ON (pointer_name, log_partition) pointer_name, log_partition, active, updated_at AS since
+      FROM pointer_status WHERE staged IS NULL ORDER BY pointer_name, log_partition, updated_at DESC, active DESC),
+    e AS (SELECT *, {_id('id')} AS k FROM stored_events), c AS (SELECT *, row_number() OVER (PARTITION BY k, payload ORDER BY seq) AS nth FROM e),
+    half AS (SELECT (min(epoch_us(ingested_at)) + max(epoch_us(ingested_at))) // 2 AS us FROM e),
+    reach0 AS (SELECT log_partition, max(seq) AS upto, max(ingested_at) AS horizon FROM e, half WHERE ingested_at IS NULL OR epoch_us(ingested_at) <= us GROUP BY 1),
+    reach1 AS (SELECT log_partition, max(seq) AS upto, max(ingested_at) AS horizon FROM e GROUP BY 1),
+    plan0 AS (SELECT * FROM pos JOIN reach0 USING (log_partition)),
+    moved AS (SELECT pointer_name, log_partition, active, since FROM pos UNION ALL SELECT pointer_name, log_partition, greatest(active, upto), coalesce(horizon, since) FROM plan0),
+    plan1 AS (SELECT * FROM (SELECT DISTINCT ON (pointer_name, log_partition) * FROM moved ORDER BY pointer_name, log_partition, since DESC, active DESC) JOIN reach1 USING (log_partition))
+    SELECT pointer_name, seq FROM c JOIN plan0 USING (log_partition) WHERE {_NEW} UNION SELECT pointer_name, seq FROM c JOIN plan1 USING (log_partition) WHERE {_NEW}"""
+
 _LEAVES = """WITH valid AS (SELECT producer, event_type, CAST(segment_no AS BIGINT) AS segment_no, line_no,
     CASE WHEN json_valid(payload) THEN CASE json_type(payload) WHEN 'OBJECT' THEN payload
       WHEN 'VARCHAR' THEN CASE WHEN json_valid(payload->>'$') AND json_type(payload->>'$') = 'OBJECT' THEN payload->>'$' END END END AS doc FROM archive_lines
