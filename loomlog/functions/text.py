@@ -47,15 +47,35 @@ def truncate(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
 
 
-def duration(ms: Column) -> Column:
-    """Milliseconds as <1ms, 123ms, 1.5s or 2.1m."""
+def duration(ms: Column, form: str = "bar") -> Column:
+    """Milliseconds in one of three forms: ``bar`` (<1ms, 123ms, 1.5s, 2.1m), ``node`` (123ms, 1.5s, 2m 6s, 2m) and ``range``
+    (123ms, 1.5s, 2.1m, 1.4h)."""
     tenth = lambda per, unit: F.concat(F.format_string("%.1f", ms / per), F.lit(unit))
+    whole = F.concat(ms.cast("bigint").cast("string"), F.lit("ms"))
+    if form == "node":
+        seconds = ms / 1000.0
+        minutes, rest = F.floor(seconds / 60).cast("string"), F.floor(F.pmod(seconds, F.lit(60)) + 0.5)
+        long = F.when(rest > 0, F.concat(minutes, F.lit("m "), rest.cast("string"), F.lit("s"))).otherwise(F.concat(minutes, F.lit("m")))
+        return F.when(ms < 1000, whole).when(ms < 60_000, tenth(1000.0, "s")).otherwise(long)
+    if form == "range":
+        return F.when(ms < 1000, whole).when(ms < 60_000, tenth(1000.0, "s")).when(ms < 3_600_000, tenth(60_000.0, "m")).otherwise(tenth(3_600_000.0, "h"))
     return (
         F.when(ms < 1, F.lit("<1ms")).when(ms < 1000, F.concat(F.floor(ms + 0.5).cast("string"), F.lit("ms")))
         .when(ms < 60_000, tenth(1000.0, "s")).otherwise(tenth(60_000.0, "m"))
     )
 
 
+def threshold_label(value: Column, low: float, high: float, labels: tuple[str, str, str] = ("negative", "neutral", "positive")) -> Column:
+    """The label below ``low``, between, or above ``high``, with the value to two places; null for null."""
+    label = F.when(value > high, labels[2]).when(value < low, labels[0]).when(value.isNotNull(), labels[1])
+    return F.concat(label, F.lit(" ("), F.format_string("%.2f", value.cast("double")), F.lit(")"))
+
+
+def percent(share: Column, unit: str = "%") -> Column:
+    """A share of one as whole percents; null for null."""
+    return F.when(share.isNotNull(), F.concat(F.format_string("%.0f", share.cast("double") * 100), F.lit(unit)))
+
+
 def fraction(part: Column, whole: Column) -> Column:
     """Between 0 and 1; 0 of nothing."""
     return F.when(whole > 0, F.least(F.greatest(part / whole, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))

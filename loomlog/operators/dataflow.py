@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions.ids import uuid5
+from loomlog.operators import ordered
 from loomlog.session import small, written
 
 #: Hops after which an event is parked, attempts after which it is, defaults of queued work.
 MAX_HOPS, MAX_EVENT_ATTEMPTS = 50, 3
 DEFAULT_PRIORITY, DEFAULT_TIMEOUT_S, DEFAULT_CANCEL_TTL_S = 10, 900, 3600
 #: Fixed value: the namespace of derived ids (the standard's namespace of domain names).
+#: How ids begin that a declaration without one gets.
+AUTO_ID = "auto_"
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 
 
@@ -37,14 +41,21 @@ class Registry:
     reactors: list[Reactor] = field(default_factory=list)
 
     def add(self, r: Reactor) -> Registry:
-        """Ids are unique and not empty; projections and reactors share them."""
-        if not r.id:
-            raise ValueError("a reactor needs an id" + (" of its own to run in the background" if r.background else ""))
+        """Ids are unique and not blank, projections and reactors share them, and what runs in the background needs a stable
+        one, not one made up at start."""
+        if not r.id.strip():
+            raise ValueError("a reactor needs an id")
+        if r.background and r.id.startswith(AUTO_ID):
+            raise ValueError(f"background reactor {r.id} needs an id of its own")
         if any(x.id == r.id for x in self.reactors):
             raise ValueError(f"reactor id {r.id} is registered twice")
         self.reactors.append(r)
         return self
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row per registration with its own priority, null where it has none."""
+        return spark.createDataFrame([(r.id, r.priority, i) for i, r in enumerate(self.reactors)], "reactor string, priority int, registered int")
+
     def routes(self, spark: SparkSession) -> DataFrame:
         """One row per reactor and route; a reactor on everything has a null route."""
         rows = [(r.id, t, r.priority if r.priority is not None else DEFAULT_PRIORITY, r.delay_s, r.timeout_s, r.max_attempts, i) for i, r in enumerate(self.reactors) for t in (r.on or (None,))]
@@ -65,14 +76,17 @@ def short_name(event_type: Column | str) -> Column:
 def route(events: DataFrame, routes: DataFrame) -> DataFrame:
     """Events with each reactor that takes their type, by full type, by prefix, or any. One row per event and reactor.
 
-    The registry is broadcast when its counted size allows, so events don't move.
+    The registry becomes one row per event type that occurs, with all reactors that take it; it is broadcast when its counted
+    size allows, so events don't move. Events of types that nobody takes, or without a type, give the rows of the reactors on
+    everything.
     """
-    r = small(routes)
-    typed = r.filter("route is not null")
-    keys = F.array_distinct(F.array("event_type", prefix("event_type"), F.lit("*")))
-    every = r.filter("route is null").withColumn("route", F.lit("*"))
-    probe = events.withColumn("route", F.explode(keys))
-    return probe.join(small(typed.unionByName(every)), "route").drop("route").dropDuplicates(["event_id", "reactor"])
+    columns = [c for c in routes.columns if c != "route"]
+    types = events.select("event_type").distinct()
+    keys = types.select("event_type", F.explode(F.array_distinct(F.array(F.coalesce("event_type", F.lit("")), F.coalesce(prefix("event_type"), F.lit("")), F.lit("*")))).alias("route"))
+    takes = keys.join(small(routes.withColumn("route", F.coalesce("route", F.lit("*")))), "route").select("event_type", *columns).distinct()
+    takes = takes.groupBy(F.col("event_type").alias("_type")).agg(F.collect_list(F.struct(*columns)).alias("_takes"))
+    routed = events.join(small(written(takes, "routes")), F.col("event_type").eqNullSafe(F.col("_type")))
+    return routed.select(*events.columns, F.explode("_takes").alias("_t")).select(*events.columns, "_t.*")
 
 
 def fired(routed: DataFrame, registry: Registry) -> DataFrame:
@@ -85,9 +99,10 @@ def fired(routed: DataFrame, registry: Registry) -> DataFrame:
     return routed.withColumn("fired", ok)
 
 
-def hop_gate(events: DataFrame, hops: str = "hops") -> tuple[DataFrame, DataFrame]:
-    """(events that go on, events to park)."""
-    return events.filter(F.col(hops) < MAX_HOPS), events.filter(F.col(hops) >= MAX_HOPS)
+def hop_gate(events: DataFrame, hops: str = "hops", limit: int = MAX_HOPS) -> tuple[DataFrame, DataFrame]:
+    """(events that go on, events to park): from ``limit`` hops on. Unknown hops count as none."""
+    n = F.coalesce(hops, F.lit(0))
+    return events.filter(n < limit), events.filter(n >= limit)
 
 
 def attempt_gate(events: DataFrame, attempts: str = "attempts") -> tuple[DataFrame, DataFrame]:
@@ -96,6 +111,73 @@ def attempt_gate(events: DataFrame, attempts: str = "attempts") -> tuple[DataFra
     return events.filter(tries <= MAX_EVENT_ATTEMPTS), events.filter(tries > MAX_EVENT_ATTEMPTS)
 
 
+def ephemeral_gate(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events to route, events to fold, snapshot and project): ephemeral events are routed like any other, and no more."""
+    return events, events.filter(F.coalesce("persistent", F.lit(True)))
+
+
+def extract(events: DataFrame, value: Column, name: str, keep: list[str]) -> DataFrame:
+    """Map and filter in one: ``value`` of each event under ``name``; events for which it is null are left out."""
+    return events.select(*keep, value.alias(name)).filter(F.col(name).isNotNull())
+
+
+def extract_fields(events: DataFrame, variants: dict[str, dict[str, tuple[str, str]]], keep: list[str]) -> DataFrame:
+    """Payload fields of event variants as columns: event type to name to (JSON path, type). A variant's row has its own
+    fields, those of others are null; types that are not named, and values that do not fit, give none."""
+    columns: dict[str, list] = {}
+    for kind, fields in variants.items():
+        for name, (path, to) in fields.items():
+            columns.setdefault(name, []).append(F.when(F.col("event_type") == kind, F.get_json_object("payload", path).try_cast(to)))
+    return events.filter(F.col("event_type").isin(*variants)).select(*keep, "event_type", *(F.coalesce(*c).alias(n) for n, c in columns.items()))
+
+
+def by_priority(rows: DataFrame, priority: str = "priority", registered: str = "registered") -> DataFrame:
+    """Registrations in running order with ``nth``: lower priority first, those without one last, then as registered."""
+    w = Window.orderBy(F.coalesce(priority, F.lit(2**31 - 1)), registered)  # a registry is a list of the driver
+    return rows.withColumn("nth", F.row_number().over(w).cast("bigint"))
+
+
+def first_of(events: DataFrame, group: str, order: str, types: list[str]) -> DataFrame:
+    """Waiting for a terminal event: per group the first event of one of ``types``, and how many events came before it.
+    Groups that have none yet give no row."""
+    done = events.filter(F.col("event_type").isin(*types)).groupBy(group).agg(F.min(order).alias("_at"), F.min_by("event_type", order).alias("terminal_type"))
+    seen = events.join(done, group).groupBy(group, "_at", "terminal_type").agg(F.count_if(F.col(order) < F.col("_at")).alias("events_before"))
+    return seen.withColumnRenamed("_at", "terminal_position")
+
+
+def _flushed(n: int, age_us: int):
+    def run(batches):
+        key, number, size, start = None, 0, 0, 0
+        for b in batches:
+            out = []
+            for k, us in zip(b.column("_key").to_pylist(), b.column("_us").to_pylist()):
+                if k != key:
+                    key, number, size, start = k, 0, 0, us
+                elif size >= n or us - start >= age_us:
+                    number, size, start = number + 1, 0, us
+                size += 1
+                out.append(number)
+            columns = [c for c in b.schema.names if not c.startswith("_")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(out, pa.int64())], names=[*columns, "batch_no"])
+
+    return run
+
+
+def batches(rows: DataFrame, key: str, order: str, time: str, n: int, age_s: float) -> DataFrame:
+    """Count-or-age batches of each key: ``rows`` with ``batch_no`` (from 0). A batch is flushed when it holds ``n`` rows or
+    ``age_s`` seconds have passed since its first one, so the next row opens another. Rows are taken by ``order``; a row
+    without a time belongs to the batch that is open.
+
+    Where a batch ends decides where the next begins, so one key is one sequence: it streams through one task, which holds no
+    more than an Arrow batch.
+    """
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.select("*", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.coalesce(F.max(us).over(w), F.lit(0)).alias("_us"))
+    ddl = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "batch_no bigint"])
+    return held.repartition(key).sortWithinPartitions("_key", order).mapInArrow(_flushed(n, int(age_s * 1e6)), ddl)
+
+
 def cancelled(rows: DataFrame, cancellations: DataFrame, now: Column, ttl_s: int = DEFAULT_CANCEL_TTL_S) -> DataFrame:
     """The cancellations in force: not older than their time to live."""
     live = cancellations.filter(F.col("cancelled_at") >= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_s)))
@@ -119,8 +201,7 @@ def intents(routed: DataFrame, hops: Column | None = None) -> DataFrame:
 def dequeue_order(queue: DataFrame, now: Column) -> DataFrame:
     """The eligible rows by priority, first in first out. ``nth`` numbers them per correlation, where order matters; a
     global order is the caller's ``orderBy``."""
-    w = Window.partitionBy("correlation_id").orderBy("priority", "position", "registered")
-    return queue.filter(F.col("execute_at") <= now).withColumn("nth", F.row_number().over(w))
+    return ordered.numbered(queue.filter(F.col("execute_at") <= now), ["correlation_id"], ["priority", "position", "registered"], "nth")
 
 
 def idempotency_key(event_id: Column | str, reactor_id: Column | str) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions.ids import NIL
+from loomlog.operators import ordered
 from loomlog.session import partitions, written
 
 #: The id of singleton aggregates, of every type.
@@ -50,8 +51,10 @@ class Fold:
             c = wrap(getattr(F, f.rule)(F.when(when, f.value)))
         return c if f.default is None else F.coalesce(c, F.lit(f.default))
 
-    def running(self, events: DataFrame, keep: list[str] | None = None) -> DataFrame:
-        """The state after every event."""
+    def running(self, events: DataFrame, keep: list[str] | None = None, heavy: int = ordered.HEAVY_ROWS) -> DataFrame:
+        """The state after every event; keys of more than ``heavy`` events are split over many tasks."""
+        if ordered.heavy(events, self.key, heavy):
+            return self.running_split(events, keep)
         w = Window.partitionBy(*self.key).orderBy(self.order).rowsBetween(Window.unboundedPreceding, 0)
         return events.select(*(keep or [*self.key, self.order]), *(self._column(f, w).alias(n) for n, f in self.fields.items()))
 
@@ -95,39 +98,39 @@ class Fold:
     def seeded(self, snapshots: DataFrame, events: DataFrame) -> DataFrame:
         """The final state from snapshots (key, ``version``, the fields) and only the events after them.
 
-        Rules that have a neutral start combine snapshot and rest; an aggregate without snapshot folds from the start.
+        Rules that have a neutral start combine snapshot and rest; an aggregate without snapshot folds from the start. The rest
+        is folded without defaults, so an event that sets a default's value counts like any other.
         """
         snap = snapshots.select(*self.key, F.col("version").alias("_at"), *(F.col(n).alias(f"_s_{n}") for n in self.fields))
         rest = events.join(snap.select(*self.key, "_at"), self.key, "left").filter(F.col("version") > F.coalesce("_at", F.lit(0)))
-        after = self.final(rest)
+        after = Fold(self.key, self.order, {n: Field(f.rule, f.value, f.when) for n, f in self.fields.items()}).final(rest)
         both = after.join(snap, self.key, "full_outer")
         out = []
         for n, f in self.fields.items():
             s, a = F.col(f"_s_{n}"), F.col(n)
-            if f.rule == "last":  # a default says nothing happened since
-                a = a if f.default is None else F.when(a != F.lit(f.default), a)
-                c = F.coalesce(a, s, F.lit(f.default))
+            if f.rule == "last":
+                c = F.coalesce(a, s)
             elif f.rule in ("sum", "count"):
                 c = F.coalesce(s, F.lit(0)) + F.coalesce(a, F.lit(0))
             elif f.rule == "ever":
                 c = F.coalesce(s, F.lit(False)) | F.coalesce(a, F.lit(False))
             else:
                 c = (F.least if f.rule == "min" else F.greatest)(s, a)
-            out.append(c.alias(n))
+            out.append((c if f.default is None else F.coalesce(c, F.lit(f.default))).alias(n))
         return both.select(*self.key, *out)
 
     def as_of(self, events: DataFrame, upto: Column) -> DataFrame:
         """The state that the events up to a point (a position or a time) give."""
         return self.final(events.filter(upto))
 
-    def transitions(self, events: DataFrame, guard: Callable[[Callable, Callable], Column], keep: list[str]) -> DataFrame:
+    def transitions(self, events: DataFrame, guard: Callable[[Callable, Callable], Column], keep: list[str], heavy: int = ordered.HEAVY_ROWS) -> DataFrame:
         """The events whose (previous, next) state the guard accepts; the previous state of a first event is the default."""
-        state = self.running(events, keep=[*dict.fromkeys([*self.key, self.order, *keep])])
-        w = Window.partitionBy(*self.key).orderBy(self.order)
+        state = self.running(events, [*dict.fromkeys([*self.key, self.order, *keep])], heavy)
+        state = ordered.neighbours(state, self.key, [self.order], {f"prev_{n}": n for n in self.fields}, bound=heavy)
         for n, f in self.fields.items():
             start = {"count": 0, "ever": False}.get(f.rule, f.default)
-            before = F.lag(n).over(w)
-            state = state.withColumn(f"prev_{n}", before if start is None else F.coalesce(before, F.lit(start)))
+            if start is not None:
+                state = state.withColumn(f"prev_{n}", F.coalesce(f"prev_{n}", F.lit(start)))
         return state.filter(guard(lambda n: F.col(f"prev_{n}"), F.col))
 
 
@@ -156,6 +159,16 @@ def fold_python(events: DataFrame, key: list[str], order: str, apply: Callable[[
     return events.groupBy(*key).applyInPandas(run, ddl)
 
 
+def due(states: DataFrame, n: int, key: list[str], taken: DataFrame | None = None) -> DataFrame:
+    """The states at which an automatic policy takes a snapshot: ``n`` versions after the last one, be it the policy's own or
+    one of ``taken`` (key, ``version``). Versions are contiguous, so between two of ``taken`` it is each n-th version."""
+    if taken is None:
+        return every(states, n)
+    last = ordered.latest(states, taken.select(*key, "version", F.col("version").alias("_taken")), key, "version", ["_taken"])
+    since = F.col("version") - F.coalesce("_taken", F.lit(0))
+    return last.filter((since > 0) & (since % n == 0)).drop("_taken")
+
+
 def every(states: DataFrame, n: int) -> DataFrame:
     """The states an automatic snapshot policy keeps: each n-th version (versions are contiguous)."""
     return states.filter(F.col("version") % n == 0)
@@ -163,8 +176,7 @@ def every(states: DataFrame, n: int) -> DataFrame:
 
 def previous_entry(timeline: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
     """Each timeline entry with the columns of the entry before it in its group."""
-    w = Window.partitionBy(group).orderBy(order)
-    return timeline.select("*", *(F.lag(c).over(w).alias(f"prev_{c}") for c in columns))
+    return ordered.neighbours(timeline, [group], [order], {f"prev_{c}": c for c in columns})
 
 
 def islands(events: DataFrame, of: str, order: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.operators import graph
+from loomlog.sources import log as L
 from loomlog.sources.log import matches
 
 
@@ -15,13 +17,17 @@ def display(log: DataFrame) -> DataFrame:
 
 
 def compact_payload(payload: str, limit: int) -> Column:
-    """``{ key: value, ... }`` of a JSON object without ``type``, in its key order; long strings are cut to 57 characters,
-    and pairs that would pass ``limit`` characters give way to ``...``. Other payloads are cut to ``limit``."""
-    cut = lambda v: F.when(
-        v.startswith('"') & (F.length(v) > 62), F.concat(F.substring(v, 1, 58), F.lit('..."'))
-    ).otherwise(v)
+    """``{ key: value, ... }`` of a JSON object without ``type``, in its key order; strings of more than 60 characters are cut
+    to 57, as they read and not as they are escaped, and pairs that would pass ``limit`` characters give way to ``...``. Other
+    payloads are cut to ``limit``."""
+
+    def shown_value(v: Column) -> Column:
+        text, raw = F.coalesce(F.to_json(v), F.lit("null")), v.try_cast("string")
+        cut = F.when(F.length(raw) > 60, F.concat(F.substring(raw, 1, 57), F.lit("..."))).otherwise(raw)
+        return F.when(text.startswith('"'), F.concat(F.lit('"'), cut, F.lit('"'))).otherwise(text)
+
     fields = F.map_filter(F.from_json(payload, "map<string,variant>"), lambda k, v: k != "type")
-    parts = F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(": "), cut(F.coalesce(F.to_json(e["value"]), F.lit("null")))))
+    parts = F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(": "), shown_value(e["value"])))
     start = F.struct(F.lit(2).alias("n"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("kept"))
 
     def add(s: Column, p: Column) -> Column:
@@ -51,17 +57,28 @@ def list_correlations(log: DataFrame, executions: DataFrame, search: str | None
     return c.orderBy(F.desc("last_ts"), "correlation_id").limit(limit) if limit else c
 
 
-def reactor_outcomes(executions: DataFrame) -> DataFrame:
-    """Per correlation and reactor: the worst status, distinct errors, attempts, start, end (of completed runs), events."""
+def reactor_outcomes(executions: DataFrame, correlation_id: str | None = None) -> DataFrame:
+    """Per correlation and reactor: the worst status, distinct errors, attempts, start, end (of completed runs), and the number
+    of events; which ones is in ``outcome_events``, row by row, since a reactor may have taken any number. Of one given
+    correlation, as a page shows it, the events are listed too."""
+    if correlation_id is not None:
+        one = executions.filter(F.col("correlation_id") == correlation_id)
+        ids = one.groupBy("reactor_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("event_id")), lambda x: x.cast("string")), ",").alias("event_ids"))
+        return reactor_outcomes(one).join(ids, "reactor_id")
     is_ = lambda s: F.bool_or(F.col("status") == s)
     status = F.when(is_("error"), "error").when(is_("running"), "running").when(is_("pending"), "pending").when(is_("completed"), "completed").otherwise("unknown")
     return executions.groupBy("correlation_id", "reactor_id").agg(
         status.alias("status"), F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("errors"), F.sum("attempts").alias("attempts"),
         F.min("started_at").alias("started_at"), F.max(F.when(F.col("status") == "completed", F.col("completed_at"))).alias("completed_at"),
-        F.array_join(F.transform(F.array_sort(F.collect_set("event_id")), lambda x: x.cast("string")), ",").alias("event_ids"),
+        F.count_distinct("event_id").alias("n_events"),
     )
 
 
+def outcome_events(executions: DataFrame) -> DataFrame:
+    """The events behind each outcome, once each."""
+    return executions.select("correlation_id", "reactor_id", "event_id").distinct()
+
+
 def reactor_dependencies(log: DataFrame, executions: DataFrame) -> DataFrame:
     """Per reactor the sorted event types it takes and those it emits; either may be missing."""
     types = log.select("event_id", "event_type")
@@ -137,3 +154,67 @@ def flow_selection(log: DataFrame, event_type: str | None = None, reactor_id: st
     """The events of a selected node of the flow graph."""
     q = log if event_type is None else log.filter(F.col("event_type") == event_type)
     return q if reactor_id is None else q.filter(F.col("reactor_id") == reactor_id)
+
+
+def describe_all(states: DataFrame, described: dict[str, Column], keep: list[str]) -> DataFrame:
+    """Every described reactor evaluated against the state at each event, whichever reactor ran: one row per event and
+    reactor. A null description says nothing and gives no row."""
+    each = F.array(*(F.struct(F.lit(r).alias("reactor_id"), c.cast("string").alias("description")) for r, c in described.items()))
+    return states.select(*keep, F.explode(each).alias("_x")).select(*keep, "_x.*").filter("description is not null")
+
+
+def capture_states(states: DataFrame, fields: list[str], kind: str = "aggregate_type", of: str = "aggregate_id") -> DataFrame:
+    """The state that each event left its aggregate in, as JSON under the aggregate's key."""
+    return states.select("position", "event_id", "correlation_id", aggregate_key(kind, of).alias("aggregate_key"), F.to_json(F.struct(*fields)).alias("state"))
+
+
+class ReadModel:
+    """The inspector's questions over one set of tables (see ``sources.spi.InspectorReadModel``)."""
+
+    def __init__(self, log: DataFrame, executions: DataFrame, logs: DataFrame, descriptions: DataFrame, states: DataFrame):
+        self.log, self.executions, self.logs, self.described, self.states = log, executions, logs, descriptions, states
+
+    def list_events(self, limit: int, **filters) -> DataFrame:
+        return L.list_events(self.log, limit, **filters)
+
+    def get_event(self, position: int) -> DataFrame:
+        return L.get_event(self.log, position)
+
+    def lineage_tree(self, position: int) -> DataFrame:
+        return graph.lineage_tree(self.log, position)
+
+    def lineage_flow(self, correlation_id: str) -> DataFrame:
+        return graph.lineage_flow(self.log, correlation_id)
+
+    def events_from(self, start: int, limit: int) -> DataFrame:
+        return L.events_from(self.log, start, limit)
+
+    def reactor_logs(self, event_id, reactor_id: str) -> DataFrame:
+        return logs_of(self.logs, event_id, reactor_id)
+
+    def reactor_logs_by_correlation(self, correlation_id: str) -> DataFrame:
+        return logs_of_correlation(self.logs, self.log, correlation_id)
+
+    def reactor_outcomes(self, correlation_id: str) -> DataFrame:
+        return reactor_outcomes(self.executions, correlation_id)
+
+    def reactor_descriptions(self, correlation_id: str) -> DataFrame:
+        return latest_descriptions(self.described.filter(F.col("correlation_id") == correlation_id))
+
+    def reactor_description_snapshots(self, correlation_id: str) -> DataFrame:
+        return self.described.filter(F.col("correlation_id") == correlation_id)
+
+    def aggregate_state_timeline(self, correlation_id: str) -> DataFrame:
+        return state_timeline(self.states.filter(F.col("correlation_id") == correlation_id), self.log)
+
+    def list_correlations(self, search: str | None, limit: int) -> DataFrame:
+        return list_correlations(self.log, self.executions, search, limit)
+
+    def reactor_dependencies(self) -> DataFrame:
+        return reactor_dependencies(self.log, self.executions)
+
+    def aggregate_lifecycle(self, key: str, limit: int = 100) -> DataFrame:
+        return lifecycle(self.states, self.log, key, limit)
+
+    def list_aggregate_keys(self) -> DataFrame:
+        return self.states.select("aggregate_key").distinct()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.session import written
+from loomlog.operators import ordered
+from loomlog.session import small, written
 
 #: The largest pages of the two read paths.
 MAX_PAGE, MAX_FEED = 200, 500
@@ -94,12 +95,9 @@ def append(log: DataFrame, new: DataFrame, order: str) -> DataFrame:
     numbered = counted.join(shifts, "_part").withColumn("position", (F.lit(top) + F.col("_shift") + F.col("_nth")).cast("bigint"))
     touched = numbered.select("aggregate_type", "aggregate_id").distinct()
     have = log.join(touched, ["aggregate_type", "aggregate_id"], "left_semi").groupBy("aggregate_type", "aggregate_id").agg(F.max("version").alias("_have"))
-    stream = Window.partitionBy("aggregate_type", "aggregate_id").orderBy("position")
-    return (
-        numbered.join(have, ["aggregate_type", "aggregate_id"], "left")
-        .withColumn("version", F.when(F.col("aggregate_id").isNotNull(), F.coalesce("_have", F.lit(0)) + F.row_number().over(stream)).cast("bigint"))
-        .select("position", *new.columns, "version")
-    )
+    versioned = ordered.numbered(numbered.join(small(have), ["aggregate_type", "aggregate_id"], "left"), ["aggregate_type", "aggregate_id"], ["position"], "_v")
+    version = F.when(F.col("aggregate_id").isNotNull(), F.coalesce("_have", F.lit(0)) + F.col("_v")).cast("bigint")
+    return versioned.withColumn("version", version).select("position", *new.columns, "version")
 
 
 def append_expected(log: DataFrame, new: DataFrame, expected: DataFrame) -> DataFrame:

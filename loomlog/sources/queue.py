@@ -6,13 +6,16 @@ batch overwrites its own folders, so a failed call can simply be made again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlog.operators.dataflow import last_status
+
 SCHEMAS = {
     "intents": "event_id string, reactor_id string, correlation_id string, execute_at timestamp_ntz, timeout_seconds int, max_attempts int, priority int, hops int",
     "transitions": "event_id string, reactor_id string, at bigint, status string, attempts int, error string",
     "journal": "event_id string, reactor_id string, seq bigint, value string",
+    "cleared": "event_id string, reactor_id string, seq bigint",
     "descriptions": "correlation_id string, reactor_id string, event_id string, at bigint, description string",
     "states": "event_id string, aggregate_key string, state string, at bigint",
     "checkpoints": "checkpoint bigint",
@@ -34,20 +37,22 @@ class Queue:
 
     def commit(self, batch: str, **tables: DataFrame) -> None:
         """Write the tables of one batch, then its marker; a batch that is committed already is left as it is."""
-        if batch in self._batches():
+        p, fs = self._fs(f"{self.path}/commits/{batch}")
+        if fs.exists(p):
             return
         for name, df in tables.items():
             columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-            df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{name}/{batch}")
-        p, fs = self._fs(f"{self.path}/commits/{batch}")
+            df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
         fs.create(p, True).close()
 
     def read(self, name: str) -> DataFrame:
-        paths = [f"{self.path}/{name}/{b}" for b in self._batches()]
-        there = [x for x in paths if (lambda pf: pf[1].exists(pf[0]))(self._fs(x))]
-        if not there:
+        """The rows of all committed batches: one listing of the table and one of the markers, however many batches there are."""
+        p, fs = self._fs(f"{self.path}/{name}")
+        if not fs.exists(p):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*there)
+        rows = self.spark.read.schema(f"{SCHEMAS[name]}, batch string").parquet(f"{self.path}/{name}")
+        done = self.spark.createDataFrame([(b,) for b in self._batches()], "batch string")
+        return rows.join(F.broadcast(done), "batch", "left_semi").drop("batch")
 
     def enqueue(self, batch: str, commits: DataFrame) -> None:
         """Commits of processed events (columns of ``intent_commits``): their intents, descriptions, states and checkpoint."""
@@ -71,6 +76,12 @@ class Queue:
         self.commit(batch, transitions=results.join(known, ["event_id", "reactor_id"], "left_semi"))
         return results.join(known, ["event_id", "reactor_id"], "left_anti").count()
 
+    def statuses(self) -> DataFrame:
+        """The status of every queued execution: that of its newest transition, ``pending`` where it has none."""
+        last = last_status(self.read("transitions"), ["event_id", "reactor_id"], "at", ["status", "attempts", "error"])
+        q = self.read("intents").select("event_id", "reactor_id").distinct().join(last, ["event_id", "reactor_id"], "left")
+        return q.select("event_id", "reactor_id", F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("attempts", F.lit(0)).alias("attempts"), "error")
+
     def dead_letters(self) -> DataFrame:
         last = self.read("transitions").groupBy("event_id", "reactor_id").agg(F.max(F.struct("at", "status", "attempts", "error")).alias("t"))
         return last.filter("t.status = 'dead_letter'").select("event_id", "reactor_id", "t.attempts", "t.error")
@@ -78,10 +89,23 @@ class Queue:
     def journal(self) -> DataFrame:
         """Journal entries of executions that have not completed; of a repeated sequence number the first counts."""
         done = self.read("transitions").filter("status = 'complete'").select("event_id", "reactor_id").distinct()
-        w = Window.partitionBy("event_id", "reactor_id", "seq").orderBy("value")
-        return self.read("journal").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").join(done, ["event_id", "reactor_id"], "left_anti")
-
-    def earliest_pending(self):
+        gone = self.read("cleared").groupBy("event_id", "reactor_id").agg(F.max("seq").alias("_upto"))
+        rows = self.read("journal").groupBy("event_id", "reactor_id", "seq").agg(F.min("value").alias("value")).join(done, ["event_id", "reactor_id"], "left_anti")
+        return rows.join(gone, ["event_id", "reactor_id"], "left").filter("_upto is null or seq > _upto").drop("_upto")
+
+    def clear_journal(self, batch: str, executions: DataFrame) -> None:
+        """Forget the journal of executions (``event_id, reactor_id``) without completing them; what they write later counts."""
+        top = self.journal().join(executions, ["event_id", "reactor_id"], "left_semi").groupBy("event_id", "reactor_id").agg(F.max("seq").alias("seq"))
+        self.commit(batch, cleared=top)
+
+    def load_journal(self, event_id: str, reactor_id: str) -> DataFrame:
+        """One execution's entries in their order."""
+        return self.journal().filter((F.col("event_id") == event_id) & (F.col("reactor_id") == reactor_id)).orderBy("seq")
+
+    def earliest_pending(self, by: str | None = None):
+        """When the next pending work can run: one time (null for none), or a row per value of ``by``."""
+        if by is not None:
+            return self.pending().groupBy(by).agg(F.min("execute_at").alias("earliest_at"))
         return self.pending().agg(F.min("execute_at")).first()[0]
 
     def reclaim(self, now) -> DataFrame:
