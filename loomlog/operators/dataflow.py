@@ -230,12 +230,13 @@ def stamp(events: DataFrame, extra: dict[str, str]) -> DataFrame:
     return events.withColumn("metadata", F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(own, k)), own))
 
 
-def settle(seed: DataFrame, react: Callable[[DataFrame], DataFrame], max_hops: int = MAX_HOPS) -> tuple[DataFrame, DataFrame]:
+def settle(seed: DataFrame, react: Callable[[DataFrame], DataFrame], max_hops: int = MAX_HOPS, late: Callable[[], bool] | None = None) -> tuple[DataFrame, DataFrame]:
     """Run generations until no event is left: (all events, parked events).
 
     ``react`` maps a generation (``event_id`` string, ``parent_id``, ``correlation_id``, ``event_type``, ``payload``,
     ``hops``) to its children. Each generation is written to the shared folder, so the lineage stays one step long; events
-    at the hop limit are kept but react no more. Children whose id is known already are dropped.
+    at the hop limit are kept but react no more. Children whose id is known already are dropped. ``late`` is asked after each
+    generation; once it says yes the run ends with a ``TimeoutError``.
     """
     columns = ["event_id", "parent_id", "correlation_id", "event_type", "payload", "hops"]
     done = now = written(seed.select(*columns), "generation")
@@ -248,6 +249,8 @@ def settle(seed: DataFrame, react: Callable[[DataFrame], DataFrame], max_hops: i
         if now.limit(1).count() == 0:
             break
         done = done.unionByName(now)
+        if late is not None and late():
+            raise TimeoutError("the emission has not settled in time")
     return done, parked
 
 

@@ -144,19 +144,33 @@ def fold_sorted(events: DataFrame, key: list[str], order: str, columns: list[str
 
 
 def fold_python(events: DataFrame, key: list[str], order: str, apply: Callable[[dict, dict], dict], default: Callable[[], dict], schema: str) -> DataFrame:
-    """A fold in Python, for states that expressions cannot write; one row of ``schema`` (the fields) per aggregate."""
+    """A fold in Python, for states that expressions cannot write; one row of ``schema`` (the fields) per aggregate.
+
+    Events stream sorted through the tasks, which hold one state and one Arrow batch, however long an aggregate is.
+    """
     import pandas as pd
 
     types = dict(events.dtypes)
     ddl = ", ".join([*(f"{k} {types[k]}" for k in key), schema])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = default()
-        for row in pdf.sort_values(order, kind="stable").to_dict("records"):
-            state = apply(state, row)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in key}, **state}])
-
-    return events.groupBy(*key).applyInPandas(run, ddl)
+    same = lambda a, b: a is not None and all(x == y or x != x and y != y for x, y in zip(a, b))
+
+    def run(pdfs):
+        now, state = None, None
+        for pdf in pdfs:
+            out = []
+            for row in pdf.to_dict("records"):
+                k = tuple(row[c] for c in key)
+                if not same(now, k):
+                    if now is not None:
+                        out.append({**dict(zip(key, now)), **state})
+                    now, state = k, default()
+                state = apply(state, row)
+            if out:
+                yield pd.DataFrame(out)
+        if now is not None:
+            yield pd.DataFrame([{**dict(zip(key, now)), **state}])
+
+    return events.repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, ddl)
 
 
 def due(states: DataFrame, n: int, key: list[str], taken: DataFrame | None = None) -> DataFrame:

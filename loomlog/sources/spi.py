@@ -39,3 +39,37 @@ class ReactorQueue(Protocol):
 
 class TailSource(Protocol):
     def stream(self) -> DataFrame: ...
+
+    def trigger(self) -> dict: ...
+
+
+class InspectorReadModel(Protocol):
+    def list_events(self, limit: int, **filters) -> DataFrame: ...
+
+    def get_event(self, position: int) -> DataFrame: ...
+
+    def lineage_tree(self, position: int) -> DataFrame: ...
+
+    def lineage_flow(self, correlation_id: str) -> DataFrame: ...
+
+    def events_from(self, start: int, limit: int) -> DataFrame: ...
+
+    def reactor_logs(self, event_id, reactor_id: str) -> DataFrame: ...
+
+    def reactor_logs_by_correlation(self, correlation_id: str) -> DataFrame: ...
+
+    def reactor_outcomes(self, correlation_id: str) -> DataFrame: ...
+
+    def reactor_descriptions(self, correlation_id: str) -> DataFrame: ...
+
+    def reactor_description_snapshots(self, correlation_id: str) -> DataFrame: ...
+
+    def aggregate_state_timeline(self, correlation_id: str) -> DataFrame: ...
+
+    def list_correlations(self, search: str | None, limit: int) -> DataFrame: ...
+
+    def reactor_dependencies(self) -> DataFrame: ...
+
+    def aggregate_lifecycle(self, key: str, limit: int = 100) -> DataFrame: ...
+
+    def list_aggregate_keys(self) -> DataFrame: ...
