@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomlog.functions import text
+from loomlog.functions import api, text
 from loomlog.functions.ids import id_key
-from loomlog.operators import dataflow, fold, graph, inspect, monitor
+from loomlog.operators import dataflow, fold, graph, hierarchy, inspect, monitor, ordered
 from loomlog.operators.dataflow import Reactor, Registry
-from loomlog.session import table
+from loomlog.plans import data_problems
+from loomlog.session import scratch_path, table
 from loomlog.sources import log as L
 from loomlog.sources import queue as Q
 from loomlog.sources.fixtures import events_log, executions, order_stream, reactor_logs
+from loomlog.sources.store import SCHEMA, StoredLog
 
 QUERIES = {}
 
+
+@api.event("claim:settled")
+class ClaimSettled:
+    claim_no: int
+    handler: str
+
+
 #: Parameters of the queries: an event that every scale has, pages, and a stream.
 AT, PAGE, STREAM, FLOW = 500, 50, 8, "u8-1"
 SHOWN = ["position", "event_id", "event_type", "correlation_id", "created_at"]
@@ -130,31 +139,12 @@ def pointer_positions(s, d):
 # --- append, snapshots ---------------------------------------------------------------------------------------------
 
 
-@query
-def append_idempotent(s, d):
-    """The log up to a position, and a delivery that overlaps it and repeats itself: the rows that are appended."""
-    log = events_log(s, d)
-    half = log.filter(F.col("position") <= AT)
-    new = log.filter(F.col("position") > AT - 200).select("event_id", "event_type", "aggregate_type", "aggregate_id", "created_at")
-    return L.append(half, new.unionByName(new), "event_id").select("position", "event_id", "aggregate_id", "version")
-
-
-@query
-def append_conflicts(s, d):
-    """Optimistic appends that expect version 3 at a fixed position: those whose stream stands there."""
-    log = events_log(s, d)
-    streams = log.select("aggregate_type", "aggregate_id").distinct()
-    upto = log.filter(F.col("position") <= AT)
-    ok = L.append_expected(upto, streams.withColumn("event_type", F.lit("activity:view")), streams.withColumn("expected_version", F.lit(3)))
-    return ok.select("aggregate_id", "event_type")
-
-
 def _half(log: DataFrame) -> int:
     return L.latest_position(log).first()["position"] // 2
 
 
 @query
-def append_idempotent_half(s, d):
+def append_idempotent(s, d):
     """The first half of the log, and a delivery of its last three quarters with every row twice: the rows that are appended."""
     log = events_log(s, d)
     half = _half(log)
@@ -163,7 +153,7 @@ def append_idempotent_half(s, d):
 
 
 @query
-def append_conflicts_whole(s, d):
+def append_conflicts(s, d):
     """Optimistic appends to every stream by writers that had read the first half of the log, against the versions that the
     whole log stands at now: those whose stream has not moved since."""
     log = events_log(s, d)
@@ -173,6 +163,16 @@ def append_conflicts_whole(s, d):
     return L.append_expected(log, new, expected).select("aggregate_id", "event_type")
 
 
+@query
+def append_conflicts_recent(s, d):
+    """The same for writers that had read all of the log but its last twentieth."""
+    log = events_log(s, d)
+    upto = L.latest_position(log).first()["position"] * 19 // 20
+    expected = log.groupBy("aggregate_type", "aggregate_id").agg(F.coalesce(F.max(F.when(F.col("position") <= upto, F.col("version"))), F.lit(0)).alias("expected_version"))
+    new = expected.select("aggregate_type", "aggregate_id", F.lit("activity:view").alias("event_type"))
+    return L.append_expected(log, new, expected).select("aggregate_id", "event_type")
+
+
 def _user_states(s, d) -> DataFrame:
     return _user().running(_persistent(s, d), keep=["aggregate_type", "aggregate_id", "position", "event_id", "version", "created_at", "correlation_id"])
 
@@ -195,6 +195,23 @@ def hydrate_from_snapshot(s, d):
     return _user_out(_user().seeded(snaps, _persistent(s, d))).select("aggregate_id", *FIELDS)
 
 
+@query
+def hydrate_default_value(s, d):
+    """Cold reads where an event can set the very value that the field has before any event."""
+    f = _user()
+    f.fields["last_type"] = fold.Field("last", value=F.col("event_type"), default="activity:error")
+    snaps = L.latest_snapshot(fold.every(_user_states(s, d), 10).select("aggregate_type", "aggregate_id", "version", *FIELDS))
+    return _user_out(f.seeded(snaps, _persistent(s, d))).select("aggregate_id", *FIELDS)
+
+
+@query
+def snapshot_policy(s, d):
+    """Snapshots ten versions after the last one, where one was also taken by hand at version 7."""
+    states = _user_states(s, d)
+    by_hand = states.filter("version = 7").select("aggregate_type", "aggregate_id", "version")
+    return fold.due(states, 10, ["aggregate_type", "aggregate_id"], by_hand).select("aggregate_id", "version", "n_events", "last_type")
+
+
 # --- folds and windows ---------------------------------------------------------------------------------------------
 
 
@@ -265,8 +282,8 @@ def timeline_previous(s, d):
 
 @query
 def scrubber_steps(s, d):
-    w = Window.partitionBy("correlation_id").orderBy("position")
-    return events_log(s, d).select("correlation_id", "position", F.lag("position").over(w).alias("previous"), F.lead("position").over(w).alias("next"))
+    log = events_log(s, d).select("correlation_id", "position")
+    return ordered.neighbours(log, ["correlation_id"], ["position"], {"previous": "position"}, {"next": "position"})
 
 
 # --- inspector -----------------------------------------------------------------------------------------------------
@@ -287,6 +304,21 @@ def reactor_outcomes(s, d):
     return inspect.reactor_outcomes(executions(s, d))
 
 
+@query
+def reactor_outcome_events(s, d):
+    return inspect.outcome_events(executions(s, d))
+
+
+@query
+def reactor_outcomes_page(s, d):
+    """The outcomes of one correlation with their events, as a page shows them."""
+    return _read_model(s, d).reactor_outcomes(FLOW).select("reactor_id", "status", "errors", "attempts", "started_at", "completed_at", "event_ids")
+
+
+def _read_model(s, d) -> inspect.ReadModel:
+    return inspect.ReadModel(events_log(s, d), executions(s, d), reactor_logs(s, d), _descriptions(s, d), _keyed_states(s, d))
+
+
 @query
 def reactor_dependencies(s, d):
     r = inspect.reactor_dependencies(events_log(s, d), executions(s, d))
@@ -415,7 +447,9 @@ def flow_edges_hidden(s, d):
 
 @query
 def visible_at_seq(s, d):
-    return graph.flow_edges(events_log(s, d).filter(F.col("position") <= AT))
+    """The flow graph as it stood when half of the log was written."""
+    log = events_log(s, d)
+    return graph.flow_edges(log.filter(F.col("position") <= _half(log)))
 
 
 # --- dataflow ------------------------------------------------------------------------------------------------------
@@ -446,37 +480,67 @@ def dequeue_order(s, d):
 
 @query
 def earliest_pending(s, d):
-    q = dataflow.intents(dataflow.route(events_log(s, d), registry().routes(s)))
-    return q.groupBy("reactor_id").agg(F.min("execute_at").alias("earliest_at"))
+    """Per reactor when its next queued work can run."""
+    q = Q.Queue(s, scratch_path(s, "queue"))
+    q.commit("all", intents=_queued(dataflow.intents(dataflow.route(events_log(s, d), registry().routes(s)))))
+    return q.earliest_pending("reactor_id")
 
 
 @query
 def projections_by_priority(s, d):
-    r = registry().routes(s).groupBy("reactor").agg(F.min("priority").alias("priority"), F.min("registered").alias("registered"))
-    return r.select("reactor", "priority", F.row_number().over(Window.orderBy("priority", "registered")).cast("bigint").alias("nth"))
+    """Registrations in running order; those without a priority run last."""
+    return dataflow.by_priority(registry().table(s)).select("reactor", "priority", "nth")
 
 
 @query
 def extract_values(s, d):
     """Filter and map: the numeric field of the payload where it is there and above 50."""
-    k = F.get_json_object("payload", "$.k").cast("bigint").alias("k")
-    return events_log(s, d).select("event_id", k).filter("k > 50")
+    k = F.get_json_object("payload", "$.k").cast("bigint")
+    return dataflow.extract(events_log(s, d), F.when(k > 50, k), "k", ["event_id"])
+
+
+@query
+def extract_fields(s, d):
+    """Fields of payload variants: a claim's number and amount, a refund's amount only."""
+    e = table(s, d, "stored_events")
+    amount = ("$.amount", "double")
+    return dataflow.extract_fields(e, {"claim:settled": {"claim_no": ("$.claim_no", "bigint"), "amount": amount}, "refund:paid": {"amount": amount}}, ["seq"])
 
 
 @query
 def ephemeral_gate(s, d):
-    """Ephemeral events are routed but not folded: per type, how many of each."""
-    return events_log(s, d).groupBy("event_type", "persistent").agg(F.count("*").alias("n"))
+    """Ephemeral events are routed but not folded: per type, how many are routed and how many folded."""
+    routed, folded = dataflow.ephemeral_gate(events_log(s, d))
+    n = folded.groupBy("event_type").agg(F.count("*").alias("n_folded"))
+    out = routed.groupBy("event_type").agg(F.count("*").alias("n_routed")).join(n, "event_type", "left")
+    return out.select("event_type", "n_routed", F.coalesce("n_folded", F.lit(0)).cast("bigint").alias("n_folded"))
 
 
 @query
 def hop_gate(s, d):
     log = events_log(s, d).join(graph.depths(events_log(s, d)).select("event_id", F.col("depth").alias("hops")), "event_id")
-    go, stop = log.filter("hops < 3"), log.filter("hops >= 3")
+    go, stop = dataflow.hop_gate(log, limit=3)
     kinds = go.select(F.lit("run").alias("outcome"), "hops").unionByName(stop.select(F.lit("park").alias("outcome"), "hops"))
     return kinds.groupBy("outcome", "hops").agg(F.count("*").alias("n"))
 
 
+@query
+def hop_gate_stored(s, d):
+    """The stored log under the engine's own limit of hops: events that run and that are parked."""
+    found = hierarchy.resolve(data_problems._nodes(s, d)).filter("not cyclic").select(F.col("depth").alias("hops"))
+    go, stop = dataflow.hop_gate(found)
+    rows = go.select(F.lit("run").alias("outcome"), "hops").unionByName(stop.select(F.lit("park").alias("outcome"), "hops"))
+    return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.max("hops").alias("most_hops"))
+
+
+@query
+def attempt_gate(s, d):
+    """Stored outcomes under the limit of attempts: what is processed again and what is parked."""
+    go, stop = dataflow.attempt_gate(table(s, d, "reactor_outcomes").dropDuplicates(["outcome_no"]))
+    rows = go.select(F.lit("process").alias("outcome"), "attempts").unionByName(stop.select(F.lit("park").alias("outcome"), "attempts"))
+    return rows.groupBy("outcome", "attempts").agg(F.count("*").alias("n"))
+
+
 def _cancellations(s, d) -> DataFrame:
     log = events_log(s, d)
     return log.filter("event_type = 'activity:error' and parent_id is null").select("correlation_id", F.col("created_at").alias("cancelled_at"))
@@ -569,20 +633,47 @@ def dlq_requeue(s, d):
 def resolve_last_status(s, d):
     """The current status of each queued execution from its append-only transitions."""
     x = executions(s, d)
-    moves = x.select("event_id", "reactor_id", F.col("position").alias("at"), F.lit("pending").alias("status")).unionByName(
-        x.select("event_id", "reactor_id", (F.col("position") + 1_000_000).alias("at"), "status")
-    )
-    return dataflow.last_status(moves, ["event_id", "reactor_id"], "at", ["status"]).select("event_id", "reactor_id", "status")
+    q = Q.Queue(s, scratch_path(s, "queue"))
+    q.commit("all", intents=_queued(x.withColumn("execute_at", F.col("started_at"))))
+    moves = x.select(F.col("event_id").cast("string").alias("event_id"), "reactor_id", F.col("position").alias("at"), "status", "attempts", "error")
+    q.resolve("first", moves.withColumn("status", F.lit("retry")))
+    q.resolve("last", moves.withColumn("at", F.col("at") + 1_000_000_000_000))
+    q.resolve("last", moves.withColumn("status", F.lit("again")))  # a batch that is committed already changes nothing
+    return q.statuses().select(F.col("event_id").cast("bigint").alias("event_id"), "reactor_id", "status")
 
 
 @query
 def journal_replay(s, d):
     """Journal entries of executions that have not completed, in order; completed ones are cleared."""
-    x = executions(s, d)
-    w = Window.partitionBy("event_id", "reactor_id").orderBy("position")
-    journal = x.select("event_id", "reactor_id", "status", F.row_number().over(w).cast("bigint").alias("seq"), F.col("child_type").alias("entry"), "position")
-    done = x.filter("status = 'completed'").select("event_id", "reactor_id").distinct()
-    return journal.join(done, ["event_id", "reactor_id"], "left_anti").select("event_id", "reactor_id", "seq", "entry")
+    return _journaled(s, d).journal().select(F.col("event_id").cast("bigint").alias("event_id"), "reactor_id", "seq", F.col("value").alias("entry"))
+
+
+@query
+def journal_cleared(s, d):
+    """The same after the journals of failed executions were cleared."""
+    q = _journaled(s, d)
+    failed = q.statuses().filter("status = 'error'").select("event_id", "reactor_id")
+    q.clear_journal("failed", failed)
+    return q.journal().groupBy("reactor_id").agg(F.count("*").alias("n"))
+
+
+def _journaled(s, d) -> Q.Queue:
+    """A queue of the executions with one journal entry for each time they ran."""
+    x = ordered.numbered(executions(s, d), ["event_id", "reactor_id"], ["position"], "seq").withColumn("event_id", F.col("event_id").cast("string"))
+    q = Q.Queue(s, scratch_path(s, "queue"))
+    done = F.when(F.col("status") == "completed", F.lit("complete")).otherwise(F.col("status"))
+    q.commit(
+        "all", intents=_queued(x.withColumn("execute_at", F.col("started_at"))), journal=x.withColumn("value", F.col("child_type")),
+        transitions=x.filter("status in ('completed', 'error')").withColumns({"at": F.col("position"), "status": done}),
+    )
+    return q
+
+
+def _queued(x: DataFrame) -> DataFrame:
+    """Rows as queued work, with the defaults for what they lack."""
+    defaults = {"timeout_seconds": "timeout_s", "max_attempts": "max_attempts", "priority": "priority", "hops": "hops"}
+    own = {n: F.col(c).cast("int") if c in x.columns else F.lit(v) for (n, c), v in zip(defaults.items(), (900, 1, 10, 0))}
+    return x.withColumns({"event_id": F.col("event_id").cast("string"), **own})
 
 
 @query
@@ -606,10 +697,7 @@ def convergence_gate(s, d):
 @query
 def wait_terminal(s, d):
     """Per workflow the first terminal event (a purchase or an error) and how many events came before it."""
-    log = events_log(s, d)
-    done = log.filter("event_type in ('activity:purchase', 'activity:error')").groupBy("correlation_id").agg(F.min("position").alias("at"))
-    before = log.join(done, "correlation_id").groupBy("correlation_id", "at").agg(F.count_if(F.col("position") < F.col("at")).alias("events_before"))
-    return before.select("correlation_id", F.col("at").alias("terminal_position"), "events_before")
+    return dataflow.first_of(events_log(s, d), "correlation_id", "position", ["activity:purchase", "activity:error"])
 
 
 @query
@@ -623,12 +711,14 @@ def batch_demultiplex(s, d):
 @query
 def describe_all(s, d):
     """At each persistent event every described reactor is evaluated against the state as of that event."""
-    states = _user_states(s, d).select("event_id", "n_events", "n_errors")
-    described = F.array(
-        F.struct(F.lit("bill").alias("reactor_id"), F.concat(F.lit("events: "), F.col("n_events").cast("string")).alias("description")),
-        F.struct(F.lit("alert").alias("reactor_id"), F.concat(F.lit("errors: "), F.col("n_errors").cast("string")).alias("description")),
-    )
-    return states.select("event_id", F.explode(described).alias("x")).select("event_id", "x.reactor_id", "x.description")
+    described = {"bill": F.concat(F.lit("events: "), F.col("n_events").cast("string")), "alert": F.concat(F.lit("errors: "), F.col("n_errors").cast("string"))}
+    return inspect.describe_all(_user_states(s, d), described, ["event_id"])
+
+
+@query
+def captured_states(s, d):
+    """The state that each event left its aggregate in."""
+    return inspect.capture_states(_user_states(s, d), ["n_events", "n_errors", "last_type"]).select("position", "aggregate_key", "state")
 
 
 @query
@@ -661,7 +751,16 @@ def durable_names(s, d):
 def duration_labels(s, d):
     ms = (F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1000
     x = executions(s, d).filter("completed_at is not null").withColumn("ms", F.floor(ms).cast("bigint"))
-    return x.select("position", "ms", F.when(F.col("ms") < 60_000, "short").otherwise("long").alias("label"))
+    return x.select("position", "ms", *(text.duration(F.col("ms"), form).alias(form) for form in ("bar", "node", "range")))
+
+
+@query
+def display_labels(s, d):
+    """Threshold labels, percents and cut texts of events."""
+    share = F.col("position") % 101 / 100.0
+    return events_log(s, d).select(
+        "position", text.threshold_label(share, 0.4, 0.6).alias("label"), text.percent(F.lit(1.0) - share, "% original").alias("percent"), text.truncate(F.col("payload"), 5).alias("cut")
+    )
 
 
 @query
@@ -690,10 +789,9 @@ def upcast_chain(s, d):
 
 @query
 def typed_events(s, d):
-    """Type test and downcast: refunds with their typed number and amount; a payload of another shape has nulls."""
-    e = table(s, d, "stored_events").filter("event_type = 'claim:settled'")
-    t = F.from_json("payload", "claim_no bigint, handler string", {"mode": "PERMISSIVE"})
-    return e.select("seq", t.alias("t")).groupBy(F.col("t.handler").alias("handler")).agg(F.count("*").alias("n"), F.max("t.claim_no").alias("max_claim"))
+    """Type test and downcast: settled claims with their typed number and handler; a payload of another shape has nulls."""
+    e = api.downcast(table(s, d, "stored_events"), ClaimSettled, ["seq"])
+    return e.groupBy("handler").agg(F.count("*").alias("n"), F.max("claim_no").alias("max_claim"))
 
 
 # --- monitoring ----------------------------------------------------------------------------------------------------
@@ -738,9 +836,16 @@ def queue_status(s, d):
 
 @query
 def retention_archive(s, d):
-    keep, old = monitor.retention(events_log(s, d), "created_at", F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
-    rows = keep.select(F.lit("keep").alias("side"), "event_type").unionByName(old.select(F.lit("archive").alias("side"), "event_type"))
-    return rows.groupBy("side", "event_type").agg(F.count("*").alias("n"))
+    """Days before a date leave the stored log for the archive; what is on each side afterwards, beside the run's own counts."""
+    log = events_log(s, d).withColumns({"event_id": F.col("event_id").cast("string"), "aggregate_id": F.col("aggregate_id").cast("string"), "parent_id": F.col("parent_id").cast("string")})
+    store = StoredLog(s, scratch_path(s, "stored"))
+    store.emit_output(log.withColumn("_at", F.col("position")), "_at")
+    store.next_partition("2031-01-01")
+    counts = store.archive("2024-01-15", to := scratch_path(s, "archive"))
+    old = s.read.schema(SCHEMA + ", day date").parquet(to) if counts["archived"] else store.table().limit(0)
+    rows = store.table().select(F.lit("keep").alias("side"), "event_type").unionByName(old.select(F.lit("archive").alias("side"), "event_type"))
+    total = F.when(F.col("side") == "keep", F.lit(counts["kept"])).otherwise(F.lit(counts["archived"])).cast("bigint")
+    return rows.groupBy("side", "event_type").agg(F.count("*").alias("n")).withColumn("n_side", total)
 
 
 @query
@@ -771,9 +876,9 @@ def commit_intents(s, d):
 
 @query
 def commit_descriptions(s, d):
-    """The newest description of each correlation and reactor."""
+    """The newest description of each correlation and reactor; of commits at one checkpoint the greater text."""
     x = Q.descriptions(_commits(s, d))
-    return x.groupBy("correlation_id", "reactor_id").agg(F.max("at").alias("at"), F.count("*").alias("n"))
+    return dataflow.last_status(x.groupBy("correlation_id", "reactor_id", "at").agg(F.max("description").alias("description")), ["correlation_id", "reactor_id"], "at", ["description"])
 
 
 @query
@@ -790,14 +895,61 @@ def commit_projection_failures(s, d):
 
 @query
 def commit_checkpoint(s, d):
-    return _commits(s, d).agg(F.coalesce(F.max("checkpoint"), F.lit(0)).cast("bigint").alias("checkpoint"))
+    """Where the queue stands after it took the commits."""
+    q = Q.Queue(s, scratch_path(s, "queue"))
+    q.enqueue("all", table(s, d, "intent_commits"))
+    return s.createDataFrame([(q.checkpoint(),)], "checkpoint bigint")
+
+
+def _taken(s, d) -> Q.Queue:
+    """A queue that took the stored commits; intents of priority 1 completed, those of five attempts and more than five hops
+    are dead, others of five attempts are to be retried."""
+    q = Q.Queue(s, scratch_path(s, "queue"))
+    q.enqueue("all", table(s, d, "intent_commits"))
+    i = q.read("intents").dropDuplicates(["event_id", "reactor_id"])
+    status = F.when(F.col("priority") == 1, "complete").when((F.col("max_attempts") == 5) & (F.col("hops") > 5), "dead_letter").when(F.col("max_attempts") == 5, "retry")
+    moves = i.select("event_id", "reactor_id", F.lit(1).cast("bigint").alias("at"), status.alias("status"), F.col("max_attempts").alias("attempts"), F.lit("gave up").alias("error"))
+    q.resolve("done", moves.filter("status is not null"))
+    return q
+
+
+@query
+def queue_statuses(s, d):
+    """Stored executions by status after a round of results."""
+    return _taken(s, d).statuses().groupBy("reactor_id", "status").agg(F.count("*").alias("n"), F.max("attempts").alias("most_attempts"))
+
+
+@query
+def queue_pending(s, d):
+    """What is left to run, and what is dead, per reactor."""
+    q = _taken(s, d)
+    left = q.pending().groupBy("reactor_id").agg(F.count("*").alias("n_pending"), F.min("execute_at").alias("earliest_at"))
+    dead = q.dead_letters().groupBy("reactor_id").agg(F.count("*").alias("n_dead"))
+    return left.join(dead, "reactor_id", "full_outer").select("reactor_id", F.coalesce("n_pending", F.lit(0)).cast("bigint").alias("n_pending"), "earliest_at", F.coalesce("n_dead", F.lit(0)).cast("bigint").alias("n_dead"))
+
+
+@query
+def queue_reclaim(s, d):
+    """Pending work whose timeout had passed when the last commit's work could run."""
+    q = _taken(s, d)
+    now = q.read("intents").agg(F.max("execute_at")).first()[0]
+    return q.reclaim(now).select("event_id", "reactor_id", "execute_at") if now is not None else q.pending().select("event_id", "reactor_id", "execute_at")
 
 
 @query
 def stateful_filter(s, d):
     """Events a reactor accepts by the state as of the event: purchases of users with three errors or more so far."""
-    st = _user_states(s, d).select("event_id", "n_errors")
-    return events_log(s, d).filter("event_type = 'activity:purchase'").join(st, "event_id").filter("n_errors >= 3").select("event_id", "correlation_id", "n_errors")
+    st = _user_states(s, d).select("aggregate_id", "position", "n_errors")
+    probes = events_log(s, d).filter("event_type = 'activity:purchase'").select("event_id", "correlation_id", "aggregate_id", "position")
+    return ordered.latest(probes, st, ["aggregate_id"], "position", ["n_errors"]).filter("n_errors >= 3").select("event_id", "correlation_id", "n_errors")
+
+
+@query
+def state_at_ephemeral(s, d):
+    """The state that ephemeral events see: that of the last folded event of their user, none before the first."""
+    st = _user_states(s, d).select("aggregate_id", "position", "n_events", "last_type")
+    probes = events_log(s, d).filter("not persistent").select("position", "aggregate_id")
+    return ordered.latest(probes, st, ["aggregate_id"], "position", ["n_events", "last_type"])
 
 
 @query

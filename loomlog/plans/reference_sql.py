@@ -42,6 +42,7 @@ routed AS (SELECT l.*, reactor, priority, delay_s, registered, NOT (reactor = 'b
   reactor IN ('enrich', 'audit') OR (reactor = 'bill' AND event_type = 'activity:purchase')
   OR (reactor = 'alert' AND event_type IN ('activity:error', 'activity:signup')))"""
 _NOW = "(SELECT max(created_at) FROM log)"
+_HALF = "(SELECT max(position) // 2 FROM log)"
 _SHOWN = "position, event_id, event_type, correlation_id, created_at"
 _FINAL = "n_events, n_errors, total, last_type, bought"
 _EDGES = "(SELECT p.event_type AS parent_type, c.reactor_id, c.event_type, c.position FROM log c JOIN log p ON c.parent_id = p.event_id WHERE c.reactor_id IS NOT NULL)"
@@ -85,10 +86,14 @@ ORACLES = {
     "search_count": _q("""SELECT event_type, count(*) AS n FROM log WHERE contains(lower(payload), 'k": 7') GROUP BY 1"""),
     "pointer_positions": """SELECT pointer_name, log_partition, arg_max(active, CASE WHEN staged IS NULL THEN struct_pack(u := updated_at, a := active) END) AS active,
         max(updated_at) AS updated_at, count(*) FILTER (staged IS NOT NULL) AS n_staged_runs FROM pointer_status GROUP BY ALL""",
-    "append_idempotent": _q("SELECT position, event_id, aggregate_id, version FROM log WHERE position > 500"),
-    "append_conflicts": _q("SELECT aggregate_id, 'activity:view' AS event_type FROM log WHERE position <= 500 GROUP BY aggregate_id HAVING max(version) = 3"),
+    "append_idempotent": _q(f"SELECT position, event_id, aggregate_id, version FROM log WHERE position > {_HALF}"),
+    "append_conflicts": _q(f"SELECT aggregate_id, 'activity:view' AS event_type FROM log GROUP BY aggregate_id HAVING max(position) <= {_HALF}"),
+    "append_conflicts_recent": _q("SELECT aggregate_id, 'activity:view' AS event_type FROM log GROUP BY aggregate_id HAVING max(position) <= (SELECT max(position) * 19 // 20 FROM log)"),
     "snapshot_every_10": _q(f"SELECT aggregate_id, version, {_FINAL} FROM states WHERE version % 10 = 0", _STATES),
     "load_snapshot": _q("SELECT aggregate_id, max(version) AS version, arg_max(n_events, version) AS n_events, arg_max(last_type, version) AS last_type FROM states WHERE version % 10 = 0 GROUP BY 1", _STATES),
+    "hydrate_default_value": _q(_LAST_STATE.format(cols=f"aggregate_id, {_FINAL}"), _STATES),
+    "snapshot_policy": _q("""SELECT aggregate_id, version, n_events, last_type FROM (SELECT *, CASE WHEN version >= 7 AND bool_or(version = 7) OVER (PARTITION BY aggregate_id) THEN 7 ELSE 0 END AS taken FROM states)
+        WHERE version > taken AND (version - taken) % 10 = 0""", _STATES),
     "hydrate_from_snapshot": _q(_LAST_STATE.format(cols=f"aggregate_id, {_FINAL}"), _STATES),
     "aggregate_fold_user": _q(_LAST_STATE.format(cols=f"aggregate_id, {_FINAL}"), _STATES),
     "aggregate_fold_user_running": _q(f"SELECT position, aggregate_id, {_FINAL} FROM states", _STATES),
@@ -116,7 +121,12 @@ ORACLES = {
         WHERE contains(lower(root_event_type), 'purchase') ORDER BY last_ts DESC, correlation_id LIMIT 50""", _EXEC),
     "reactor_outcomes": _q("""SELECT correlation_id, reactor_id, CASE WHEN bool_or(status = 'error') THEN 'error' WHEN bool_or(status = 'running') THEN 'running' ELSE 'completed' END AS status,
         coalesce(string_agg(DISTINCT error, '; ' ORDER BY error), '') AS errors, CAST(sum(attempts) AS BIGINT) AS attempts, min(started_at) AS started_at,
-        max(completed_at) FILTER (status = 'completed') AS completed_at, array_to_string(list_sort(list(DISTINCT event_id)), ',') AS event_ids FROM executions GROUP BY ALL""", _EXEC),
+        max(completed_at) FILTER (status = 'completed') AS completed_at, count(DISTINCT event_id) AS n_events FROM executions GROUP BY ALL""", _EXEC),
+    "reactor_outcome_events": _q("SELECT DISTINCT correlation_id, reactor_id, event_id FROM executions", _EXEC),
+    "reactor_outcomes_page": _q("""SELECT reactor_id, CASE WHEN bool_or(status = 'error') THEN 'error' WHEN bool_or(status = 'running') THEN 'running' ELSE 'completed' END AS status,
+        coalesce(string_agg(DISTINCT error, '; ' ORDER BY error), '') AS errors, CAST(sum(attempts) AS BIGINT) AS attempts, min(started_at) AS started_at,
+        max(completed_at) FILTER (status = 'completed') AS completed_at, array_to_string(list_sort(list(DISTINCT event_id)), ',') AS event_ids FROM executions
+        WHERE correlation_id = 'u8-1' GROUP BY reactor_id""", _EXEC),
     "reactor_dependencies": _q("""SELECT coalesce(i.reactor_id, o.reactor_id) AS reactor_id, coalesce(ins, '') AS input_event_types, coalesce(outs, '') AS output_event_types FROM
         (SELECT x.reactor_id, string_agg(DISTINCT l.event_type, ',' ORDER BY l.event_type) AS ins FROM executions x JOIN log l USING (event_id) GROUP BY 1) i FULL JOIN
         (SELECT reactor_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS outs FROM log WHERE reactor_id IS NOT NULL GROUP BY 1) o ON i.reactor_id = o.reactor_id""", _EXEC),
@@ -150,14 +160,18 @@ ORACLES = {
         SELECT 'reactor', node, coalesce(n, 0) FROM (SELECT DISTINCT reactor_id AS node FROM executions) LEFT JOIN (SELECT reactor_id AS node, count(*) AS n FROM log GROUP BY 1) USING (node)""", _EXEC),
     "flow_edges": _q(_flow()),
     "flow_edges_hidden": _q(_hidden()),
-    "visible_at_seq": _q(_flow("position <= 500")),
+    "visible_at_seq": _q(_flow(f"position <= {_HALF}")),
     "route_reactors": _q("SELECT event_id, reactor, priority, fired FROM routed", _ROUTES),
     "dequeue_order": _q(f"""SELECT event_id, reactor AS reactor_id, priority, created_at + to_seconds(delay_s) AS execute_at,
         row_number() OVER (PARTITION BY correlation_id ORDER BY priority, position, registered) AS nth FROM routed WHERE created_at + to_seconds(delay_s) <= {_NOW}""", _ROUTES),
     "earliest_pending": _q("SELECT reactor AS reactor_id, min(created_at + to_seconds(delay_s)) AS earliest_at FROM routed GROUP BY 1", _ROUTES),
-    "projections_by_priority": _q("SELECT reactor, priority, row_number() OVER (ORDER BY priority, registered) AS nth FROM routes", _ROUTES),
+    "projections_by_priority": "SELECT * FROM (VALUES ('bill', 1, CAST(1 AS BIGINT)), ('enrich', 20, 2), ('alert', NULL, 3), ('audit', NULL, 4)) t(reactor, priority, nth)",
     "extract_values": _q("SELECT event_id, CAST(payload->>'$.k' AS BIGINT) AS k FROM log WHERE CAST(payload->>'$.k' AS BIGINT) > 50"),
-    "ephemeral_gate": _q("SELECT event_type, persistent, count(*) AS n FROM log GROUP BY ALL"),
+    "extract_fields": """SELECT seq, event_type, CASE WHEN event_type = 'claim:settled' THEN TRY_CAST(payload->>'$.claim_no' AS BIGINT) END AS claim_no, TRY_CAST(payload->>'$.amount' AS DOUBLE) AS amount
+        FROM (SELECT seq, event_type, CASE WHEN json_valid(payload) THEN payload END AS payload FROM stored_events) WHERE event_type IN ('claim:settled', 'refund:paid')""",
+    "ephemeral_gate": _q("SELECT event_type, count(*) AS n_routed, count(*) FILTER (persistent) AS n_folded FROM log GROUP BY ALL"),
+    "attempt_gate": """SELECT CASE WHEN coalesce(attempts, 0) <= 3 THEN 'process' ELSE 'park' END AS outcome, attempts, count(*) AS n
+        FROM (SELECT DISTINCT ON (outcome_no) * FROM reactor_outcomes) GROUP BY ALL""",
     "hop_gate": _q("SELECT CASE WHEN depth < 3 THEN 'run' ELSE 'park' END AS outcome, depth AS hops, count(*) AS n FROM depth GROUP BY ALL", _DEPTH, recursive=True),
     "cancel_gate": _q(f"""SELECT event_id, correlation_id FROM log WHERE correlation_id NOT IN (SELECT correlation_id FROM log
         WHERE event_type = 'activity:error' AND parent_id IS NULL AND created_at >= {_NOW} - INTERVAL 3 DAY)"""),
@@ -182,10 +196,12 @@ ORACLES = {
         WHERE NOT EXISTS (SELECT 1 FROM executions x WHERE x.event_id = j.event_id AND x.reactor_id = j.reactor_id AND x.status = 'completed')""", _EXEC),
     "same_batch_join": """WITH l AS (SELECT l_orderkey AS batch_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_partkey, l_linestatus FROM lineitem)
         SELECT batch_id, count(*) AS batch_size, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY i) AS parts FROM l GROUP BY 1 HAVING bool_and(l_linestatus = 'F')""",
+    "journal_cleared": _q("""SELECT reactor_id, count(*) AS n FROM executions j WHERE NOT EXISTS (SELECT 1 FROM executions x WHERE x.event_id = j.event_id AND x.reactor_id = j.reactor_id AND x.status = 'completed')
+        AND (SELECT arg_max(status, position) FROM executions x WHERE x.event_id = j.event_id AND x.reactor_id = j.reactor_id AND x.status IN ('completed', 'error')) IS DISTINCT FROM 'error' GROUP BY 1""", _EXEC),
     "convergence_gate": _q("""SELECT correlation_id, max(first_at) AS opened_at FROM (SELECT correlation_id, event_type, min(position) AS first_at FROM log
         WHERE event_type IN ('activity:view', 'activity:click', 'activity:purchase') GROUP BY ALL) GROUP BY 1 HAVING count(*) = 3"""),
-    "wait_terminal": _q("""SELECT l.correlation_id, first_at AS terminal_position, count(*) FILTER (position < first_at) AS events_before FROM log l JOIN
-        (SELECT correlation_id, min(position) AS first_at FROM log WHERE event_type IN ('activity:purchase', 'activity:error') GROUP BY 1) USING (correlation_id) GROUP BY ALL"""),
+    "wait_terminal": _q("""SELECT l.correlation_id, first_at AS terminal_position, first_type AS terminal_type, count(*) FILTER (position < first_at) AS events_before FROM log l JOIN
+        (SELECT correlation_id, min(position) AS first_at, arg_min(event_type, position) AS first_type FROM log WHERE event_type IN ('activity:purchase', 'activity:error') GROUP BY 1) USING (correlation_id) GROUP BY ALL"""),
     "batch_demultiplex": _q("""SELECT event_id, aggregate_id AS user_id, CASE WHEN aggregate_id % 2 = 0 THEN count(*) OVER (PARTITION BY aggregate_id) END AS answer,
         CASE WHEN aggregate_id % 2 <> 0 THEN 'missing result for ' || aggregate_id END AS error FROM log"""),
     "describe_all": _q("""SELECT event_id, 'bill' AS reactor_id, 'events: ' || n_events AS description FROM states UNION ALL SELECT event_id, 'alert', 'errors: ' || n_errors FROM states""", _STATES),
@@ -195,7 +211,15 @@ ORACLES = {
     "durable_names": """WITH n AS (SELECT DISTINCT lower(c_mktsegment) AS w FROM customer), m AS (SELECT w, upper(w[1:1]) || w[2:] AS t FROM n)
         SELECT 'Http' || t || 'DoneV' AS name, 'http_' || w || '_done_v' AS snake, 'http' || t || 'DoneV' AS camel, 'Http' || t || 'DoneV' AS pascal,
           'HTTP_' || upper(w) || '_DONE_V' AS screaming, 'http-' || w || '-done-v' AS kebab FROM m""",
-    "duration_labels": _q("""SELECT position, ms, CASE WHEN ms < 60000 THEN 'short' ELSE 'long' END AS label FROM (SELECT position, (epoch_us(completed_at) - epoch_us(started_at)) // 1000 AS ms
+    "captured_states": _q("""SELECT position, 'User:' || aggregate_id AS aggregate_key, '{"n_events":' || n_events || ',"n_errors":' || n_errors || ',"last_type":"' || last_type || '"}' AS state FROM states""", _STATES),
+    "display_labels": _q("""SELECT position, CASE WHEN position % 101 / 100 > 0.6 THEN 'positive' WHEN position % 101 / 100 < 0.4 THEN 'negative' ELSE 'neutral' END || ' (' || printf('%.2f', position % 101 / 100) || ')' AS label,
+        printf('%.0f', (1 - position % 101 / 100) * 100) || '% original' AS percent, payload[1:5] || CASE WHEN length(payload) > 5 THEN '…' ELSE '' END AS cut FROM log"""),
+    "state_at_ephemeral": _q("""SELECT position, aggregate_id, n_events, last_type FROM (SELECT l.position, l.aggregate_id, s.n_events, s.last_type FROM log l ASOF LEFT JOIN states s
+        ON l.aggregate_id = s.aggregate_id AND l.position >= s.position WHERE NOT l.persistent)""", _STATES),
+    "duration_labels": _q("""SELECT position, ms, CASE WHEN ms < 1 THEN '<1ms' WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1fs', (ms + 50) // 100 / 10) ELSE printf('%.1fm', (ms + 3000) // 6000 / 10) END AS bar,
+        CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1fs', (ms + 50) // 100 / 10) WHEN floor(ms / 1000 % 60 + 0.5) > 0
+          THEN concat(ms // 60000, 'm ', CAST(floor((ms / 1000) % 60 + 0.5) AS BIGINT), 's') ELSE concat(ms // 60000, 'm') END AS node,
+        CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1fs', (ms + 50) // 100 / 10) WHEN ms < 3600000 THEN printf('%.1fm', (ms + 3000) // 6000 / 10) ELSE printf('%.1fh', (ms + 180000) // 360000 / 10) END AS range FROM (SELECT position, (epoch_us(completed_at) - epoch_us(started_at)) // 1000 AS ms
         FROM executions WHERE completed_at IS NOT NULL)""", _EXEC),
     "progress_fraction": _q("SELECT correlation_id, round(count(*) FILTER (status = 'completed') / count(*), 6) AS fraction FROM executions GROUP BY 1", _EXEC),
     "state_json_diff": _q("""SELECT position, array_to_string(list_filter([
@@ -212,7 +236,8 @@ ORACLES = {
     "payload_size_alert": "SELECT seq AS event_id, event_type, length(payload) AS size FROM stored_events WHERE length(payload) > 400",
     "stale_executions": _q(f"SELECT event_id, reactor_id, position FROM executions WHERE status = 'running' AND started_at < {_NOW} - INTERVAL 3 MINUTE", _EXEC),
     "queue_status": _q("SELECT correlation_id, count(*) FILTER (status = 'running') AS pending, count(*) FILTER (status = 'error') AS dead_lettered FROM executions GROUP BY 1", _EXEC),
-    "retention_archive": _q("SELECT CASE WHEN created_at < '2024-01-15' THEN 'archive' ELSE 'keep' END AS side, event_type, count(*) AS n FROM log GROUP BY ALL"),
+    "retention_archive": _q("""SELECT side, event_type, count(*) AS n, any_value(n_side) AS n_side FROM (SELECT *, count(*) OVER (PARTITION BY side) AS n_side FROM
+        (SELECT CASE WHEN created_at < '2024-01-15' THEN 'archive' ELSE 'keep' END AS side, event_type FROM log)) GROUP BY side, event_type"""),
 }
 
 from loomlog.plans.data_problems_sql import _id  # noqa: E402
@@ -224,12 +249,20 @@ ORACLES["typed_events"] = """SELECT CASE WHEN json_valid(payload) THEN payload->
 ORACLES["aggregate_fold_user_split"] = ORACLES["aggregate_fold_user_running"]
 
 _COMMITS = "WITH c AS (SELECT DISTINCT ON (event_id) * FROM intent_commits), i AS (SELECT event_id, unnest(intents) AS i FROM c)"
+_MOVED = _COMMITS + """, q AS (SELECT event_id, i.reactor_id AS reactor_id, i.execute_at AS execute_at, greatest(coalesce(i.timeout_seconds, 900), 1) AS timeout_seconds,
+      coalesce(i.max_attempts, 1) AS max_attempts, coalesce(i.priority, 10) AS priority, coalesce(i.hops, 0) AS hops FROM i WHERE i IS NOT NULL),
+    m AS (SELECT DISTINCT ON (event_id, reactor_id) *, CASE WHEN priority = 1 THEN 'complete' WHEN max_attempts = 5 AND hops > 5 THEN 'dead_letter' WHEN max_attempts = 5 THEN 'retry' ELSE 'pending' END AS status FROM q)"""
 _OBJECT = "CASE WHEN json_valid(reactor_descriptions) AND json_type(reactor_descriptions) = 'OBJECT' THEN reactor_descriptions END"
 ORACLES |= {
     "commit_intents": f"""{_COMMITS} SELECT i.reactor_id AS reactor_id, coalesce(i.priority, 10) AS priority, count(*) AS n, min(i.execute_at) AS earliest_at,
         max(coalesce(i.hops, 0)) AS max_hops, max(greatest(coalesce(i.timeout_seconds, 900), 1)) AS longest_timeout FROM i WHERE i IS NOT NULL GROUP BY ALL""",
-    "commit_descriptions": f"""{_COMMITS} SELECT correlation_id, reactor_id, max(checkpoint) AS at, count(*) AS n FROM
-        (SELECT correlation_id, checkpoint, unnest(json_keys({_OBJECT})) AS reactor_id FROM c) GROUP BY ALL""",
+    "commit_descriptions": f"""{_COMMITS} SELECT correlation_id, reactor_id, checkpoint AS at, description FROM
+        (SELECT correlation_id, checkpoint, k AS reactor_id, reactor_descriptions->>('$."' || k || '"') AS description FROM (SELECT *, unnest(json_keys({_OBJECT})) AS k FROM c))
+        QUALIFY row_number() OVER (PARTITION BY correlation_id, reactor_id ORDER BY checkpoint DESC NULLS LAST, description DESC NULLS LAST) = 1""",
+    "queue_statuses": f"{_MOVED} SELECT reactor_id, status, count(*) AS n, max(CASE WHEN status = 'pending' THEN 0 ELSE max_attempts END) AS most_attempts FROM m GROUP BY ALL",
+    "queue_pending": f"""{_MOVED} SELECT reactor_id, count(*) FILTER (status IN ('pending', 'retry')) AS n_pending, min(execute_at) FILTER (status IN ('pending', 'retry')) AS earliest_at,
+        count(*) FILTER (status = 'dead_letter') AS n_dead FROM m GROUP BY ALL HAVING n_pending + n_dead > 0""",
+    "queue_reclaim": f"""{_MOVED} SELECT event_id, reactor_id, execute_at FROM m WHERE status IN ('pending', 'retry') AND execute_at + to_seconds(timeout_seconds) < (SELECT max(execute_at) FROM m)""",
     "commit_parked": f"{_COMMITS} SELECT coalesce(park_reason, 'none') AS park_reason, count(*) AS n FROM c GROUP BY 1",
     "commit_projection_failures": f"{_COMMITS} SELECT split_part(f, ':', 1) AS projection, count(*) AS n FROM (SELECT unnest(projection_failures) AS f FROM c) GROUP BY 1",
     "commit_checkpoint": "SELECT coalesce(max(checkpoint), 0) AS checkpoint FROM intent_commits",
@@ -238,3 +271,7 @@ ORACLES |= {
     "stored_outcomes": """SELECT reactor_id, count(*) AS n, CAST(sum(attempts) AS BIGINT) AS attempts, count(*) FILTER (status = 'error') AS n_errors, min(started_at) AS first_start,
         max(completed_at) FILTER (status = 'completed') AS last_end FROM (SELECT DISTINCT ON (outcome_no) * FROM reactor_outcomes) GROUP BY 1""",
 }
+
+from loomlog.plans.data_problems_sql import _WALK  # noqa: E402
+
+ORACLES["hop_gate_stored"] = f"""{_WALK} SELECT CASE WHEN depth < 50 THEN 'run' ELSE 'park' END AS outcome, count(*) AS n, CAST(max(depth) AS BIGINT) AS most_hops FROM every WHERE depth >= 0 GROUP BY 1"""
