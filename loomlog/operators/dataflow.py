@@ -147,10 +147,12 @@ def first_of(events: DataFrame, group: str, order: str, types: list[str]) -> Dat
 
 def _flushed(n: int, age_us: int):
     def run(batches):
-        key, number, size, start = None, 0, 0, 0
+        key, number, size, start, now = None, 0, 0, 0, 0
         for b in batches:
             out = []
             for k, us in zip(b.column("_key").to_pylist(), b.column("_us").to_pylist()):
+                us = now if us is None and k == key else us or 0 if k != key else max(us, now)
+                now = us
                 if k != key:
                     key, number, size, start = k, 0, 0, us
                 elif size >= n or us - start >= age_us:
@@ -172,8 +174,7 @@ def batches(rows: DataFrame, key: str, order: str, time: str, n: int, age_s: flo
     more than an Arrow batch.
     """
     us = F.unix_micros(F.col(time).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    held = rows.select("*", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.coalesce(F.max(us).over(w), F.lit(0)).alias("_us"))
+    held = rows.select("*", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), us.alias("_us"))
     ddl = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "batch_no bigint"])
     return held.repartition(key).sortWithinPartitions("_key", order).mapInArrow(_flushed(n, int(age_s * 1e6)), ddl)
 

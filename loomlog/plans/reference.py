@@ -780,11 +780,11 @@ def state_json_diff(s, d):
 
 @query
 def upcast_chain(s, d):
-    """Stored events brought to the newest schema by the declared steps; per type, how many payloads changed."""
-    up = text.upcaster(text.declared_steps(table(s, d, "upcasters")))
-    e = table(s, d, "stored_events").select("event_type", "schema_version", "payload").withColumn("new", up("event_type", "schema_version", "payload"))
-    null_only = F.get_json_object("new", "$.channel").isNull() & F.get_json_object("payload", "$.channel").isNotNull()
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(null_only).alias("n_channel_cleared"))
+    """Archived payloads brought to the newest schema by the declared steps: per type, how many have which field then."""
+    new = text.upcast(F.col("event_type"), F.col("schema_version"), F.col("payload"), text.declared_steps(table(s, d, "upcasters")))
+    fields = {"channel": "$.channel", "meta_channel": "$.meta.channel", "temp": "$.temp", "temperature": "$.temperature", "batch": "$.batchNo", "batch_no": "$.batch_no", "tags": "$.tags", "labels": "$.labels", "enabled": "$.enabled", "remark": "$.remark", "score": "$.score"}
+    e = table(s, d, "archive_lines").select("event_type", F.when(text.is_object(F.col("payload")), new).alias("new"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), *(F.count_if(F.get_json_object("new", p).isNotNull()).alias(n) for n, p in fields.items()))
 
 
 @query

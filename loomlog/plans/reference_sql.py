@@ -275,3 +275,31 @@ ORACLES |= {
 from loomlog.plans.data_problems_sql import _WALK  # noqa: E402
 
 ORACLES["hop_gate_stored"] = f"""{_WALK} SELECT CASE WHEN depth < 50 THEN 'run' ELSE 'park' END AS outcome, count(*) AS n, CAST(max(depth) AS BIGINT) AS most_hops FROM every WHERE depth >= 0 GROUP BY 1"""
+
+
+def _after(field: str, *rules: tuple[str, int, str]) -> str:
+    """A field's text after the declared steps: rules of (prefix, last version the step applies to, text then)."""
+    cases = " ".join(f"WHEN prefix = '{p}' AND v <= {v} THEN {x}" for p, v, x in rules)
+    return f"CASE {cases} ELSE doc->>'$.{field}' END" if rules else f"doc->>'$.{field}'"
+
+
+def _moved(old: str, new: str) -> str:
+    """Of a renamed field the old one's text, where it has one or is null there, else what the new name had."""
+    return f"CASE WHEN json_exists(doc, '$.{old}') THEN doc->>'$.{old}' ELSE doc->>'$.{new}' END"
+
+
+_FIELDS = {
+    "channel": _after("channel", ("order", 0, "NULL"), ("badge", 0, "NULL"), ("meter", 0, "NULL")),
+    "meta_channel": _after("meta.channel", ("badge", 0, _moved("channel", "meta.channel")), ("meter", 0, _moved("channel", "meta.channel"))),
+    "temp": _after("temp", ("claim", 3, "NULL"), ("crawl", 3, "NULL")),
+    "temperature": _after("temperature", ("claim", 3, _moved("temp", "temperature"))),
+    "batch": _after("batchNo", ("parcel", 2, "NULL"), ("survey", 2, "NULL")),
+    "batch_no": _after("batch_no", ("survey", 2, _moved("batchNo", "batch_no"))),
+    "tags": _after("tags", ("claim", 1, "NULL"), ("survey", 3, "NULL"), ("notice", 0, "NULL")),
+    "labels": _after("labels", ("survey", 3, _moved("tags", "labels")), ("notice", 0, _moved("tags", "labels")), ("refund", 3, "NULL")),
+    "enabled": _after("enabled", ("crawl", 0, "NULL"), ("refund", 0, "NULL")),
+    "remark": _after("remark", ("notice", 1, "NULL")),
+    "score": _after("score", ("meter", 2, "NULL")),
+}
+ORACLES["upcast_chain"] = f"""SELECT event_type, count(*) AS n, {', '.join(f"count({x}) AS {n}" for n, x in _FIELDS.items())} FROM (SELECT event_type, split_part(event_type, ':', 1) AS prefix,
+  coalesce(schema_version, 0) AS v, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload END AS doc FROM archive_lines) GROUP BY 1"""
