@@ -132,9 +132,11 @@ class Context:
 
 
 def emitted(result) -> list:
-    """What a reactor returned as a list of events: none, one, or a batch."""
+    """What a reactor returned as a list of events: none, one (an event, or a type name with its payload), or a batch."""
     if result is None:
         return []
+    if isinstance(result, tuple) and len(result) == 2 and isinstance(result[0], str) and isinstance(result[1], dict):
+        return [result]
     return list(result) if isinstance(result, (list, tuple)) else [result]
 
 

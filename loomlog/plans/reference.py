@@ -839,7 +839,7 @@ def retention_archive(s, d):
     """Days before a date leave the stored log for the archive; what is on each side afterwards, beside the run's own counts."""
     log = events_log(s, d).withColumns({"event_id": F.col("event_id").cast("string"), "aggregate_id": F.col("aggregate_id").cast("string"), "parent_id": F.col("parent_id").cast("string")})
     store = StoredLog(s, scratch_path(s, "stored"))
-    store.emit_output(log.withColumn("_at", F.col("position")), "_at")
+    store.emit_output(log, "position")
     store.next_partition("2031-01-01")
     counts = store.archive("2024-01-15", to := scratch_path(s, "archive"))
     old = s.read.schema(SCHEMA + ", day date").parquet(to) if counts["archived"] else store.table().limit(0)

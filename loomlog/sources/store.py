@@ -48,7 +48,7 @@ class StoredLog:
         """Append events that are not there yet; the number of new ones. ``new`` has the schema without position and
         version, and ``order`` names the column that orders it."""
         columns = [f.name for f in self.schema.fields if f.name not in ("position", "version")]
-        rows = L.append(self.table(), new.select(*dict.fromkeys([*columns, order])), order)
+        rows = L.append(self.table(), new.select(*columns, F.col(order).alias("_order")), "_order")
         from loomlog.session import written
 
         rows = written(rows, "append")

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from loomlog.plans import data_problems, data_problems_sql, reference, reference_sql, streams  # noqa: F401
+from loomlog.plans import data_problems, data_problems_sql, engine, reference, reference_sql, streams  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 QUERIES = reference.QUERIES | data_problems.QUERIES
