@@ -117,7 +117,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _subtype(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    return shred.subtype(p3_records(spark, d), kind)
+    """All records of a kind, the union of its variants' tables. Their names (``p3_variants``) are no part of the answer."""
+    return shred.subtype(p3_records(spark, d), kind).drop("variant")
 
 
 def p3_shipments(spark: SparkSession, d: str) -> DataFrame:

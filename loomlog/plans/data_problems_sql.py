@@ -138,3 +138,10 @@ walk(source, event_id, agg, mode, field, filed_as, around, v) AS (
   WHERE e.type IN ('OBJECT', 'ARRAY', 'VARCHAR') AND NOT (mode = 'h' AND v = '{{}}'))"""
 ORACLES["p3_found"] = f"""{_RECORDS} SELECT source, event_id, agg AS aggregate_key, CASE field WHEN 'shipments' THEN 'shipment' WHEN 'adjustments' THEN 'adjustment' ELSE 'line' END AS kind,
   {_RID} AS record_id, around AS parent_record_id FROM walk WHERE mode = 'r'"""
+
+_LINKS = f"SELECT source, event_id, agg AS aggregate_key, {_RID} AS record_id, around AS parent_record_id"
+ORACLES |= {
+    "p3_shipments": f"""{_RECORDS} {_LINKS}, v->>'$.carrier' AS carrier, CASE WHEN json_type(v, '$.address') = 'OBJECT' THEN v->>'$.address.zone' END AS "address.zone" FROM walk WHERE mode = 'r' AND field = 'shipments'""",
+    "p3_lines": f"""{_RECORDS} {_LINKS}, v->>'$.sku' AS sku, TRY_CAST(v->>'$.qty' AS BIGINT) AS qty, v->>'$.note' AS note FROM walk WHERE mode = 'r' AND field IN ('lines', 'components')""",
+    "p3_adjustments": f"""{_RECORDS} {_LINKS}, v->>'$.code' AS code, TRY_CAST(v->>'$.cents' AS BIGINT) AS cents FROM walk WHERE mode = 'r' AND field = 'adjustments'""",
+}
