@@ -300,7 +300,8 @@ def last_status(transitions: DataFrame, key: list[str], order: str, columns: lis
 
 
 def complete_batches(rows: DataFrame, batch: list[str], index: str, size: str, columns: list[str]) -> DataFrame:
-    """Same-batch fan-in: batches of which every index has arrived, with their rows in order."""
+    """Same-batch fan-in: batches of which every index has arrived, with their rows in order. A batch is what one execution
+    emitted at once and says how many that are, so its list has a known length; it is the answer's own form."""
     got = rows.groupBy(*batch).agg(
         F.count_distinct(index).alias("_got"), F.max(size).alias("_size"), F.array_sort(F.collect_list(F.struct(index, *columns))).alias("rows")
     )

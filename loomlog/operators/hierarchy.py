@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.session import discard, partitions, written
+from loomlog.session import discard, lookup, partitions, written
 
 #: A quotient of at most this many fragments is solved by one task.
 BASE_ROWS = 200_000
@@ -123,7 +123,7 @@ def _solve(links: DataFrame, parts: int, base_rows: int, level: int = 0) -> Data
     to = local.select(F.col("key").alias("parent"), "top", "dist", "m", "cyclic", "open")
     onward = F.col("open")
     quotient = written(
-        exits.join(to, "parent", "left").select(
+        lookup(exits, to, "parent").select(
             "key",
             F.when(onward, F.col("top")).alias("parent"),
             (F.col("w") + F.coalesce("dist", F.lit(0))).alias("w"),
@@ -243,7 +243,7 @@ def _above(links: DataFrame, parts: int, base_rows: int, level: int = 0) -> Data
         return local.select("key", "above")
     local = written(local, f"paths{level}")
     to = local.select(F.col("key").alias("parent"), "head", "above", "open")
-    quotient = local.filter("parent is not null").select("key", "parent", "seg", "ord").join(to, "parent").select(
+    quotient = lookup(local.filter("parent is not null").select("key", "parent", "seg", "ord"), to, "parent", "inner").select(
         "key", F.when(F.col("open"), F.col("head")).alias("parent"), F.concat("above", "seg").alias("seg"), "ord"
     )
     quotient = written(quotient, f"steps{level}")

@@ -47,6 +47,19 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, boun
     return out.select(*(F.col(f"a.{c}") for c in rows.columns if c != name), (F.col(f"a.{name}") + F.col("b._shift")).cast("bigint").alias(name))
 
 
+def running_sum(rows: DataFrame, keys: list[str], order: list[str], name: str, of: str, bound: int = HEAVY_ROWS) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``of`` up to and with each row in its key; nulls add nothing."""
+    upto = lambda w: F.sum(of).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    if not heavy(rows, keys, bound):
+        return rows.withColumn(name, upto(Window.partitionBy(*keys)))
+    at = placed(rows, keys, order)
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = at.groupBy("_p", *keys).agg(F.sum(of).alias("_s")).withColumn("_c", F.sum("_s").over(before))
+    out = at.withColumn(name, upto(Window.partitionBy("_p", *keys))).alias("a").join(small(carried.select("_p", *keys, "_c")).alias("b"), _same(keys, "a", "b"))
+    total = F.when(F.col(f"a.{name}").isNull(), F.col("b._c")).otherwise(F.col(f"a.{name}") + F.coalesce("b._c", F.lit(0)))
+    return out.select(*(F.col(f"a.{c}") for c in rows.columns if c != name), total.alias(name))
+
+
 def neighbours(rows: DataFrame, keys: list[str], order: list[str], before: dict[str, str] | None = None, after: dict[str, str] | None = None, bound: int = HEAVY_ROWS) -> DataFrame:
     """``rows`` with columns of the row before (``before``: new name to column) and of the row after it in its key."""
     before, after = before or {}, after or {}

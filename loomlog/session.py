@@ -79,5 +79,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of one key that a join gives to a single task.
+HEAVY_ROWS = 1_000_000
+
+
+def lookup(rows: DataFrame, of: DataFrame, key: str, how: str = "left", heavy: int = HEAVY_ROWS) -> DataFrame:
+    """``rows`` joined with ``of``, which is unique by ``key``. Keys with more than ``heavy`` rows are few (at most all rows over
+    ``heavy``); they are looked up on their own and broadcast, so their rows stay where they are. ``rows`` should be cheap to
+    count by key (a written table)."""
+    few = written(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > heavy).select(key).filter(F.col(key).isNotNull()), "heavy")
+    n = few.count()
+    if n == 0 or n > BROADCAST_ROWS:
+        return rows.join(of, key, how)
+    few = F.broadcast(few)
+    known = written(of.join(few, key, "left_semi"), "known")
+    return rows.join(few, key, "left_semi").join(F.broadcast(known), key, how).unionByName(rows.join(few, key, "left_anti").join(of, key, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomlog.operators import ordered
 from loomlog.session import table, written
 
 _kept: dict[tuple, DataFrame] = {}
@@ -19,11 +20,11 @@ def hydrated(spark: SparkSession, d: str, name: str, make) -> DataFrame:
 
 
 def _events_log(spark: SparkSession, d: str) -> DataFrame:
-    by_user = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, d, "events").withColumn("before", F.lag("ts").over(by_user)).withColumn("version", F.row_number().over(by_user).cast("bigint"))
+    e = ordered.neighbours(table(spark, d, "events"), ["user_id"], ["event_id"], {"before": "ts"})
+    e = ordered.numbered(e, ["user_id"], ["event_id"], "version")
     fresh = F.col("before").isNull() | (F.col("ts") > F.col("before") + F.expr("INTERVAL 12 HOURS"))
-    e = e.withColumn("sess", F.sum(fresh.cast("bigint")).over(by_user.rowsBetween(Window.unboundedPreceding, 0)))
-    e = e.withColumn("rn", F.row_number().over(Window.partitionBy("user_id", "sess").orderBy("event_id")).cast("bigint"))
+    e = ordered.running_sum(e.withColumn("fresh", fresh.cast("bigint")), ["user_id"], ["event_id"], "sess", "fresh")
+    e = ordered.numbered(e, ["user_id", "sess"], ["event_id"], "rn")
     up = e.select(
         F.col("user_id").alias("pu"), F.col("sess").alias("ps"), F.col("rn").alias("pn"), F.col("event_id").alias("parent_id"), F.col("event_type").alias("parent_type")
     )

@@ -37,6 +37,30 @@ def test_numbered_and_neighbours(spark):
         assert ordered.numbered(df.limit(0), ["k"], ["at"], "n", bound).count() == 0
 
 
+def test_running_sum(spark):
+    rows = data(5)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    want = {}
+    for k, rs in by_key(rows).items():
+        total = None
+        for r in rs:
+            total = total if r[2] is None else (total or 0) + r[2]
+            want[k, r[1]] = total
+    for bound in (10**6, 50):
+        assert {(r["k"], r["at"]): r["s"] for r in ordered.running_sum(df, ["k"], ["at"], "s", "v", bound).collect()} == want
+
+
+def test_lookup_of_heavy_keys(spark):
+    from loomlog.session import lookup
+
+    rows = [(i, "hot" if i % 3 else f"k{i % 7}" if i % 5 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "i bigint, k string")
+    of = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "k string, v int")
+    for how in ("left", "inner"):
+        got = [sorted(((r["i"], r["k"], r["v"]) for r in lookup(df, of, "k", how, heavy).select("i", "k", "v").collect()), key=repr) for heavy in (10**6, 100, 10, 0)]
+        assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == (300 if how == "left" else sum(k in ("hot", "k0", "k3") for _, k in rows))
+
+
 def test_latest(spark):
     states, probes = data(2, 300), data(3, 200)
     a, b = spark.createDataFrame(states, SCHEMA), spark.createDataFrame(probes, "k string, at bigint, v bigint, extra string").withColumnRenamed("v", "own")
