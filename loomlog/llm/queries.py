@@ -34,9 +34,8 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """A document is oversized if it has a second piece."""
-    pieces = split.split_documents(table(spark, d, "documents"), oversized_only=True, with_text=False, first=2)
-    return pieces.filter(F.col("piece_no") == 1).select("doc_id")
+    """A document is oversized if it has a second piece; all its pieces are made, to the end of its text."""
+    return p9_pieces(spark, d).filter(F.col("piece_no") == 1).select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p7_ids, p7_ids_multi, p8_found, p8_leaks, p9_found, p9_pieces)}
